@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, quality_model, toxicity
+from . import decontamination, language_id, piece_codec, quality_model, simhash, toxicity
 from .runtime import fold, table
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: its fingerprint and the smallest doc_id that links reach."""
+    return simhash.link(table(spark, sf_dir, "documents")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learned from documents whose crc32(doc_id) mod 3 is not 1."""
     docs = table(spark, sf_dir, "documents")
@@ -29,6 +34,16 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded with dropout 0.1 and seed 7, and decoded again."""
+    return piece_codec.digest(table(spark, sf_dir, "documents"), piece_codec.default_model(), dropout=0.1, seed=7)
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document and benchmark item that it contains to 0.8 or more."""
+    return decontamination.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learned from labels whose crc32(doc_id) mod 4 is not 2."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -37,8 +52,11 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_simhash": op3_simhash,
     "op4_language_id": op4_language_id,
     "op5_toxicity": op5_toxicity,
+    "op6_piece_codec": op6_piece_codec,
+    "op8_decontamination": op8_decontamination,
     "op9_quality_classifier": op9_quality_classifier,
 }
 
