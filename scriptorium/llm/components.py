@@ -22,10 +22,10 @@ def components(edges: DataFrame) -> DataFrame:
     found = edges.sparkSession.createDataFrame([], f"node {dict(live.dtypes)['a']}, root {dict(live.dtypes)['a']}")
     turn = 0
     while not live.isEmpty():
-        order = lambda c, turn=turn: F.struct(F.xxhash64(F.lit(turn), c), c)
+        order = lambda c, turn=turn: F.struct(F.xxhash64(F.lit(turn), c).alias("rank"), c.alias("id"))
         both = live.unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
         best = both.groupBy("a").agg(F.min(order(F.col("b"))).alias("m"))
-        parent = cut(best.select(F.col("a").alias("node"), F.least("m", order(F.col("a")))["col2"].alias("parent")))
+        parent = cut(best.select(F.col("a").alias("node"), F.least("m", order(F.col("a")))["id"].alias("parent")))
         moved = parent.select(F.col("node").alias("root"), F.col("parent"))
         if turn:
             found = found.join(moved, "root", "left").select("node", F.coalesce("parent", "root").alias("root"))
