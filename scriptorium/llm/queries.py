@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, piece_codec, quality_model, simhash, toxicity
+from . import decontamination, language_id, piece_codec, quality_model, quality_rules, sharding, simhash, toxicity
 from .runtime import fold, table
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Law `rows`: a row's place is decided by its number, and shards differ by one row at most."""
+    out = sharding.shard(table(spark, sf_dir, "documents"), shards=40)
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "row_number")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: its fingerprint and the smallest doc_id that links reach."""
     return simhash.link(table(spark, sf_dir, "documents")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -39,6 +45,13 @@ def op6_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.digest(table(spark, sf_dir, "documents"), piece_codec.default_model(), dropout=0.1, seed=7)
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts, base verdict and the rule table's verdict."""
+    judged = quality_rules.judge(table(spark, sf_dir, "documents"))
+    base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (~base & F.col("kept")).alias("kept"), F.concat_ws(",", "failed").alias("failed"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document and benchmark item that it contains to 0.8 or more."""
     return decontamination.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -52,10 +65,12 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_sharding": op2_sharding,
     "op3_simhash": op3_simhash,
     "op4_language_id": op4_language_id,
     "op5_toxicity": op5_toxicity,
     "op6_piece_codec": op6_piece_codec,
+    "op7_quality_rules": op7_quality_rules,
     "op8_decontamination": op8_decontamination,
     "op9_quality_classifier": op9_quality_classifier,
 }
