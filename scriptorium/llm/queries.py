@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, line_dedup, piece_codec, quality_model, quality_rules, sharding, simhash, toxicity
+from . import decontamination, language_id, line_dedup, personal_data, piece_codec, quality_model, quality_rules, sharding, simhash, toxicity
 from .runtime import fold, table
 
 
+def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base spans of every whole text, and the spans that the segment model adds."""
+    return personal_data.scan(table(spark, sf_dir, "documents"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Law `rows`: a row's place is decided by its number, and shards differ by one row at most."""
     out = sharding.shard(table(spark, sf_dir, "documents"), shards=40)
@@ -71,6 +76,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_personal_data": op1_personal_data,
     "op2_sharding": op2_sharding,
     "op3_simhash": op3_simhash,
     "op4_language_id": op4_language_id,

@@ -25,6 +25,12 @@ def prepare(spark: SparkSession) -> None:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="scriptorium-checkpoint-"))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share."""
+    prepare(spark)
+    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and go on from there."""
     prepare(df.sparkSession)
