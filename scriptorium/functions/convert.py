@@ -357,26 +357,27 @@ def with_page_title(tree: str, title: str) -> str:
     return json.dumps(node)
 
 
-@F.pandas_udf("string")
-def html_udf(pages: pd.Series) -> pd.Series:
-    return pages.map(lambda s: None if s is None else html_to_markdown(s))
+def _adf_or_null(tree: str) -> str | None:
+    try:
+        return adf_to_markdown(tree)
+    except ValueError:
+        return None
 
 
-@F.pandas_udf("string")
-def adf_udf(trees: pd.Series) -> pd.Series:
-    def one(s):
-        try:
-            return None if s is None else adf_to_markdown(s)
-        except ValueError:
-            return None
+CONVERTERS = {"html-to-markdown": html_to_markdown, "adf-to-markdown": _adf_or_null}
 
-    return trees.map(one)
 
+def column_udf(name: str):
+    """A pandas UDF of a registered converter; null stays null."""
+    one = CONVERTERS[name]
 
-CONVERTERS = {"html-to-markdown": (html_to_markdown, html_udf), "adf-to-markdown": (adf_to_markdown, adf_udf)}
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(lambda s: None if s is None else one(s))
+
+    return F.pandas_udf(run, "string")
 
 
 def register(spark: SparkSession) -> None:
     """`html_to_markdown` and `adf_to_markdown` in SQL."""
-    for name, (_, udf) in CONVERTERS.items():
-        spark.udf.register(name.replace("-", "_"), udf)
+    for name in CONVERTERS:
+        spark.udf.register(name.replace("-", "_"), column_udf(name))

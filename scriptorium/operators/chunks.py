@@ -38,7 +38,7 @@ def read_lines(files: DataFrame, start: int = 1, count: int = 200, max_bytes: in
         raise ValueError("start must be positive and count 1 to 500")
     every = text.source_lines("content")
     page = files.select("path", F.size(every).alias("total"), F.slice(every, start, count).alias("page"))
-    sums = F.aggregate(F.transform("page", lambda x: F.octet_length(x) + 1), F.array().cast("array<bigint>"), lambda a, x: F.concat(a, F.array(F.coalesce(F.element_at(a, -1), F.lit(0).cast("bigint")) + x)))
+    sums = F.aggregate(F.transform("page", lambda x: F.octet_length(x) + 1), F.array().cast("array<bigint>"), lambda a, x: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0).cast("bigint")) + x)))
     fit = page.withColumn("n", F.greatest(F.size(F.filter(sums, lambda s: s <= max_bytes)), F.least(F.lit(1), F.size("page"))))
     last = F.lit(start - 1) + F.col("n")
     return fit.select(

@@ -99,8 +99,7 @@ def merge_settings(content: str, data: dict, managed: list[str], defaults: list[
 def settings_udf(data: dict, managed: list[str], defaults: list[str]):
     """K10 over a column of JSON texts."""
 
-    @F.pandas_udf("string")
     def run(contents: pd.Series) -> pd.Series:
         return contents.map(lambda s: merge_settings(s or "", data, managed, defaults))
 
-    return run
+    return F.pandas_udf(run, "string")

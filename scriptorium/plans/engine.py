@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from scriptorium.functions import convert, paths, text
 from scriptorium.operators import catalog, chunks, context, diff, journal, locks, search
 from scriptorium.plans.index import Index
+from scriptorium.plans.session import ship
 from scriptorium.sources import catalog as catalog_source
 from scriptorium.sources import journal as journal_source
 from scriptorium.sources import manifests, tree
@@ -40,6 +41,7 @@ class Journal:
 class Engine:
     def __init__(self, spark: SparkSession, index: str, project: str | None = None, documentation: str = "docs"):
         self.spark, self.index, self.project, self.documentation = spark, Index(spark, index), project, documentation
+        ship(spark)
         convert.register(spark)
 
     def build(self, root: str | None = None, **selection) -> dict:

@@ -203,6 +203,6 @@ def assemble_chunks(chunks: DataFrame) -> DataFrame:
     part = F.struct("name", "text")
     out = chunks.groupBy("document").agg(F.sort_array(F.collect_list(part)).alias("parts"))
     count = lambda p: F.size(F.split(p["text"], "\n"))
-    begins = F.aggregate("parts", F.array().cast("array<int>"), lambda a, p: F.concat(a, F.array(F.coalesce(F.element_at(a, -1), F.lit(1)) + count(p))))
+    begins = F.aggregate("parts", F.array().cast("array<int>"), lambda a, p: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(1)) + count(p))))
     starts = F.concat(F.array(F.lit(1)), F.slice(begins, F.lit(1), F.greatest(F.size(begins) - 1, F.lit(0))))
     return out.select("document", F.array_join(F.transform("parts", lambda p: p["text"]), "\n").alias("text"), F.arrays_zip(F.transform("parts", lambda p: p["name"]).alias("name"), starts.alias("line")).alias("source_map"))
