@@ -147,7 +147,11 @@ def sanitize_remote(url: Column | str) -> Column:
 def integrity_checksum(value: Column | str) -> Column:
     """Strongest digest of a subresource integrity list, as algorithm:hex."""
     items = F.split(F.trim(_col(value)), r"\s+")
-    picked = F.coalesce(*[F.get(F.filter(items, lambda x, a=a: F.startswith(x, F.lit(f"{a}-"))), F.lit(0)) for a in ("sha512", "sha384", "sha256")])
+
+    def of(algorithm: str) -> Column:
+        return F.get(F.filter(items, lambda x: F.startswith(x, F.lit(f"{algorithm}-"))), F.lit(0))
+
+    picked = F.coalesce(of("sha512"), of("sha384"), of("sha256"))
     raw = F.unbase64(F.regexp_replace(picked, r"^sha\d+-", ""))
     return F.when(picked.isNotNull(), F.concat(F.regexp_extract(picked, r"^(sha\d+)-", 1), F.lit(":"), F.lower(F.hex(raw))))
 
