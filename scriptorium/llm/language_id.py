@@ -60,7 +60,8 @@ def _indices(texts: list[bytes]):
         windows = np.arange(len(data) - n + 1) if len(data) >= n else np.zeros(0, np.int64)
         h = (block.hashes(prefix, windows, windows + n) >> U64(64 - _BITS)).astype(np.int32)
         lo, hi = (start, end) if n == 1 else (start - 1, end + 2 - n)
-        grams.append((h, lo, np.maximum(hi, lo)))
+        lo = np.minimum(lo, len(h))
+        grams.append((h, lo, np.maximum(np.minimum(hi, len(h)), lo)))
     word = (block.hashes(prefix, start, end) >> U64(64 - _BITS)).astype(np.int32)
     return grams, word, which, block.per_text(ws)
 
@@ -243,7 +244,7 @@ def predict(docs: DataFrame, model: Model, id_column: str = "doc_id", text_colum
                 words = np.diff(first)
                 mean = sums(post, first) / np.maximum(words, 1)[:, None]
                 best = mean.argmax(1) if len(m.languages) else np.zeros(len(own), int)
-                top = post.argmax(1) if len(post) and len(m.languages) else np.zeros(0, int)
+                top = post.argmax(1) if post.size else np.zeros(len(post), int)
                 turn = np.zeros(len(top))
                 turn[1:] = top[1:] != top[:-1]
                 turn[first[:-1][first[:-1] < len(top)]] = 0

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontamination, language_id, line_dedup, personal_data, piece_codec, quality_model, quality_rules, sharding, simhash, toxicity
+from .oracle import QUALITY_RULES
 from .runtime import fold, table
 
 
@@ -88,4 +89,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_line_dedup": op10_line_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op7_quality_rules": QUALITY_RULES}
