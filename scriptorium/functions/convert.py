@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 _BLOCKS = {"p", "div", "section", "article", "header", "footer", "main", "nav", "aside", "ul", "ol", "table", "blockquote", "pre", "h1", "h2", "h3", "h4", "h5", "h6", "hr", "figure", "form", "dl", "address", "body", "html"}
 _VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
+#: Stands for a hard line break until a block is complete.
+_BREAK = "\x00"
 _HIDDEN = {"script", "style", "head", "noscript", "template", "iframe", "svg"}
 
 
@@ -103,7 +105,7 @@ class _Html:
             elif c.tag in ("code", "kbd", "samp", "tt"):
                 out += _code_span(re.sub(r"\s+", " ", self.text(c)))
             elif c.tag == "br":
-                out += "  \n"
+                out += _BREAK
             elif c.tag == "img":
                 alt, src = c.attrs.get("alt", ""), c.attrs.get("src", "")
                 out += f"![{_escape(alt)}]({self._target(src, c.attrs.get('title', ''))})" if src else ""
@@ -124,8 +126,8 @@ class _Html:
         run: list = []
 
         def flush():
-            if s := re.sub(r" *\n *", lambda m: "  \n" if m[0].startswith("  ") else "\n", self.inline(run)).strip():
-                out.append(s)
+            if s := re.sub(rf" *{_BREAK} *", _BREAK, self.inline(run)).strip(" \n" + _BREAK):
+                out.append(s.replace(_BREAK, "  \n"))
             run.clear()
 
         for c in children:
@@ -142,7 +144,7 @@ class _Html:
 
     def block(self, c: _Node) -> list[str]:
         if re.fullmatch("h[1-6]", c.tag):
-            title = re.sub(r"\s+", " ", self.inline(c.children)).strip()
+            title = re.sub(rf"[\s{_BREAK}]+", " ", self.inline(c.children)).strip()
             return ["#" * int(c.tag[1]) + " " + title] if title else []
         if c.tag == "hr":
             return ["* * *"]
@@ -203,7 +205,7 @@ def grid(rows: list[list[str]], header: bool) -> str:
 def html_to_markdown(html: str) -> str:
     """Trimmed Markdown with one newline at the end; empty input gives the newline."""
     tree = _Tree()
-    tree.feed(html)
+    tree.feed(html.replace(_BREAK, "\ufffd"))
     tree.close()
     return "\n\n".join(_Html().blocks(tree.root.children)).strip() + "\n"
 

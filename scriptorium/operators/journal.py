@@ -45,7 +45,7 @@ def list_entries(entries: DataFrame, status: str = "", since: Column | None = No
 def search(entries: DataFrame, notes: DataFrame, query: str, limit: int = 0, most_lines: int = 3) -> DataFrame:
     """F8, T5: (id, updated_at, lines): the query, in any case, in title, id, tags or a line of the notes; comment lines do not count."""
     q = F.lit(query.strip().lower())
-    every = F.transform(F.split(F.coalesce("notes", F.lit("")), "\n"), F.trim)
+    every = F.transform(F.split(F.coalesce("notes", F.lit("")), "\n"), lambda x: F.trim(x))
     lines = F.slice(F.filter(every, lambda x: ~F.startswith(x, F.lit("<!--")) & F.contains(F.lower(x), q)), 1, most_lines)
     found = entries.join(notes, "id", "left").withColumn("lines", lines)
     hit = (F.size("lines") > 0) | F.contains(F.lower("title"), q) | F.contains(F.col("id"), q) | F.exists("tags", lambda t: F.contains(t, q))

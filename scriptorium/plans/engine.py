@@ -61,8 +61,11 @@ class Engine:
         info["generation"] = snap.generation
         if check_stale:
             live = tree.listing(self.spark, snap.root).join(F.broadcast(page.select("path").distinct()), "path").select("path", "size", F.sha2("content", 256).alias("hash"))
-            page = diff.mark_stale(page, snap.manifest, live).orderBy(F.desc("score"), F.asc("chunk_id")).cache()
-            info["refresh"] = not page.where("stale").isEmpty()
+            # At most 100 rows; brought here so that the answer is what was checked, once.
+            marked = diff.mark_stale(page, snap.manifest, live).orderBy(F.desc("score"), F.asc("chunk_id"))
+            rows = marked.collect()
+            page = self.spark.createDataFrame(rows, marked.schema)
+            info["refresh"] = any(r["stale"] for r in rows)
         return page, info
 
     def read_lines(self, path: str, start: int = 1, count: int = 200) -> DataFrame:

@@ -11,10 +11,6 @@ EVENT = "at timestamp, event string, runtime string, session string, summary str
 STANDARD = ("journal", "index", "backups", "cache", "tmp")
 
 
-def _id(path) -> F.Column:
-    return F.element_at(F.split(F.input_file_name() if path is None else path, "/"), -2)
-
-
 def entries(spark: SparkSession, root: str) -> DataFrame:
     """Every entry record, by (updated_at desc, id); `problem` is null for a valid one (D3)."""
     raw = spark.read.schema(f"{ENTRY}, _bad string").option("multiLine", "true").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(f"{root}/*/entry.json")
@@ -35,7 +31,7 @@ def events(spark: SparkSession, root: str) -> DataFrame:
 
 
 def notes(spark: SparkSession, root: str) -> DataFrame:
-    raw = spark.read.option("wholetext", "true").text(f"{root}/*/notes.md")
+    raw = spark.read.text(f"{root}/*/notes.md", wholetext=True)
     return raw.select(F.element_at(F.split(F.input_file_name(), "/"), -2).alias("id"), F.col("value").alias("notes"))
 
 

@@ -22,12 +22,36 @@ INDEXED_EXTENSIONS = (
 )
 
 
+def _passed_over(spark: SparkSession, root: str, max_bytes: int) -> list[tuple[str, int, bytearray]]:
+    """Empty files, and indexed files whose names begin with a dot: Spark's readers pass over them, so the driver lists and reads these few."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(root)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    base = fs.makeQualified(at).toString().rstrip("/") + "/"
+    found, todo = [], [at]
+    while todo:
+        for s in fs.listStatus(todo.pop()):
+            name = s.getPath().getName()
+            if s.isDirectory():
+                if name not in EXCLUDED_DIRECTORIES and not s.isSymlink():
+                    todo.append(s.getPath())
+            elif s.getLen() == 0 and not name.startswith("."):
+                found.append((s.getPath().toString().removeprefix(base), 0, bytearray()))
+            elif name.startswith(".") and name in INDEXED_NAMES and s.getLen() <= max_bytes:
+                stream = fs.open(s.getPath())
+                data = jvm.org.apache.commons.io.IOUtils.toByteArray(stream)
+                stream.close()
+                found.append((s.getPath().toString().removeprefix(base), s.getLen(), bytearray(data)))
+    return found
+
+
 def listing(spark: SparkSession, root: str, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
     """(path, size, content) of regular files below root; the size limit reaches the scan before any content is read."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).where(F.col("length") <= max_bytes)
     base = F.regexp_replace(F.lit(root.rstrip("/")), r"^[a-z]+:/*", "/")
     plain = F.regexp_replace("path", r"^[a-z]+:/*", "/")
-    return raw.select(F.substring(plain, F.length(base) + 2, F.lit(1 << 20)).alias("path"), F.col("length").alias("size"), "content")
+    shown = raw.select(F.substring(plain, F.length(base) + 2, F.lit(1 << 20)).alias("path"), F.col("length").alias("size"), "content")
+    return shown.unionByName(spark.createDataFrame(_passed_over(spark, root, max_bytes), "path string, size bigint, content binary"))
 
 
 def wanted(path: str = "path", extra_extensions: tuple[str, ...] = (), extra_directories: tuple[str, ...] = ()):
@@ -71,7 +95,7 @@ def without_ignored(files: DataFrame, rules: paths.IgnoreRules) -> DataFrame:
 def scan(spark: SparkSession, root: str, extra_extensions: tuple[str, ...] = (), extra_directories: tuple[str, ...] = (), max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
     """(path, size, hash, kind, language, content) of the files to index: text in UTF-8 without NUL bytes, not ignored, not generated Go."""
     files = listing(spark, root, max_bytes)
-    rules = ignore_rules(files)
+    rules = ignore_rules(listing(spark, root))
     files = without_ignored(files.where(wanted("path", extra_extensions, extra_directories)), rules)
     files = files.where(F.is_valid_utf8(F.col("content").cast("string")))
     texts = files.select("path", "size", F.sha2("content", 256).alias("hash"), F.col("content").cast("string").alias("content")).where(~F.contains("content", F.lit("\x00")))
