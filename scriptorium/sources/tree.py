@@ -15,7 +15,7 @@ MAX_FILE_BYTES = 5 << 20
 # What is never scanned, and what is indexed by name.
 EXCLUDED_DIRECTORIES = (".git", "vendor", "node_modules", ".idea", ".vscode", "dist", "build", "bin", ".build", ".tools", ".task", ".venv", "__pycache__")
 EXCLUDED_FILES = ("go.sum", "package-lock.json", "yarn.lock", "pnpm-lock.yaml", "Cargo.lock", "poetry.lock")
-INDEXED_NAMES = ("Makefile", "Dockerfile", ".gitignore", ".env", ".env.example", ".kwbignore")
+INDEXED_NAMES = ("Makefile", "Dockerfile", ".gitignore", ".env", ".env.example", ".indexignore")
 INDEXED_EXTENSIONS = (
     "go", "md", "markdown", "txt", "rst", "adoc", "yaml", "yml", "mod", "proto", "sql", "json", "toml", "env", "sh", "ini", "js", "jsx", "ts", "tsx", "py", "rs", "java",
     "c", "h", "cpp", "cs", "rb", "php",
@@ -67,7 +67,7 @@ def wanted(path: str = "path", extra_extensions: tuple[str, ...] = (), extra_dir
     return (asked | (named & ~name.isin(*EXCLUDED_FILES))) & ~barred
 
 
-def ignore_rules(files: DataFrame, names: tuple[str, ...] = (".gitignore",), root_names: tuple[str, ...] = (".kwbignore",), most: int = 10_000) -> paths.IgnoreRules:
+def ignore_rules(files: DataFrame, names: tuple[str, ...] = (".gitignore",), root_names: tuple[str, ...] = (".indexignore",), most: int = 10_000) -> paths.IgnoreRules:
     """The ignore files of a listing, parents first; root_names count in the root only. There are at most `most` of them."""
     name = F.element_at(F.split("path", "/"), -1)
     found = files.where(name.isin(*names) | F.col("path").isin(*root_names)).select("path", F.col("content").cast("string").alias("text")).limit(most + 1).collect()
