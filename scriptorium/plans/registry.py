@@ -424,9 +424,9 @@ def unmapped_paths(spark, sf_dir):
 
 @query()
 def context_assembly(spark, sf_dir):
-    """A request for each source; sequential, so without SQL (tests/test_context.py checks its invariants)."""
+    """A request for every fifty documents, about the candidates that a catalog allows; sequential, so without SQL (tests/test_context.py checks its invariants)."""
     c = corpus(spark, sf_dir)
-    rows = c.select(F.col("path").substr(F.lit(1), F.instr("path", "/") - 1).alias("request"), "path", (F.col("doc_id") % 5).cast("int").alias("priority"), F.lit(1).alias("start_line"), "content", F.array(F.col("doc_id").cast("string")).alias("evidence"))
+    rows = c.select(F.floor(F.col("doc_id") / 50).cast("bigint").alias("request"), "path", (F.col("doc_id") % 5).cast("int").alias("priority"), F.lit(1).alias("start_line"), "content", F.array(F.col("doc_id").cast("string")).alias("evidence"))
     return context.assemble(context.candidates(rows)).select("request", "item", "path", "reason", "bytes", "next_start_line")
 
 
