@@ -73,7 +73,7 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: how many lines stay, and a digest of the text that they make."""
     out = line_dedup.dedup(table(spark, sf_dir, "documents"), drop_emptied=False)
-    return out.select("doc_id", F.size(F.split("text", "\n")).alias("n_lines"), F.sha2("text", 256).alias("text_sha256"))
+    return out.select("doc_id", (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).alias("n_lines"), F.sha2("text", 256).alias("text_sha256"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

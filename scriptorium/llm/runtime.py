@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,9 +35,28 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and go on from there."""
-    prepare(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write df as a compressed table in the shared checkpoint folder and go on from there.
+
+    Lost executors then repeat nothing that came before, and later plans know
+    the table's size. Tables of ended sessions may be deleted: their folders
+    begin with `scriptorium-cut-`; this process removes its own when it ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/scriptorium-cut-{uuid.uuid4().hex}"
+    df.write.option("compression", "lz4_raw").parquet(path)
+    _written.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_written: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def _clean() -> None:
+    for spark, path in _written:
+        with contextlib.suppress(Exception):  # the session may have been stopped
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
