@@ -3,14 +3,15 @@
 A text gets a leading space, spaces become the meta symbol, and symbols are
 merged best score first (leftmost on ties). With dropout p every candidate
 merge (a span of two neighbouring symbols) is skipped when its keyed hash of
-(seed, chunk, variant, span) falls below p, whichever way the agenda comes to
+(seed, chunk, draw, span) falls below p, whichever way the agenda comes to
 it; so a seed fixes the segmentation, and other seeds give others. p = 0 is
 the plain encoding. Each occurrence of a chunk (a run of spaces and what
-follows it) draws one of `variants` variants by a hash of (seed, doc_id,
-ordinal).
+follows it) has its own draw, a hash of (seed, doc_id, ordinal).
 
-No piece has a space after another character, so chunks are independent; equal
-(chunk, variant) pairs of a block are merged once, all of them side by side in
+No piece has a space after another character, so chunks are independent.
+Distinct chunks of a block are merged once without dropout; an occurrence
+whose draw skips none of those merges has that segmentation, and all others
+are merged one by one, side by side in
 numpy. Characters outside the vocabulary, and the meta symbol itself when it
 stands in a text, become byte pieces. Decoding therefore returns every text
 exactly.
@@ -83,8 +84,8 @@ class Codec:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.merged[at], -1)
 
-    def segment(self, data: np.ndarray, offset: np.ndarray, salt: np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray]:
-        """Piece ids of chunks (byte ranges of data), one after another, and the offset of each."""
+    def segment(self, data: np.ndarray, offset: np.ndarray, salt: np.ndarray, dropout: float, made_of: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Piece ids of chunks (byte ranges of data), one after another, and the offset of each. made_of takes (chunk, span) of every merge, the span as the skip hash has it."""
         head = (data & 0xC0) != 0x80
         at = np.flatnonzero(head)
         n, chunks = len(at), len(offset) - 1
@@ -130,6 +131,8 @@ class Codec:
             left = first[todo] + (best[more] & 0xFFFFFF)
             right = after[left]
             far = after[right]
+            if made_of is not None:
+                made_of.append((todo, (place[left].astype(U64) << U64(42)) + (end[left].astype(U64) << U64(21)) + end[right].astype(U64)))
             symbol[left] = self.join(symbol[left], symbol[right])
             end[left] = end[right]
             live[right] = False
@@ -155,7 +158,7 @@ class Codec:
         out[where] = self.byte_id[bytes_of]
         return out, out_at[np.searchsorted(keep, first)]
 
-    def encode(self, texts: list[bytes], ids: np.ndarray, dropout: float = 0.0, seed: int = 0, variants: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: list[bytes], ids: np.ndarray, dropout: float = 0.0, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """Piece ids of all texts, one after another, and the offset of each text."""
         sizes = np.fromiter((len(t) + 1 if t else 0 for t in texts), np.int64, len(texts))
         start = np.concatenate(([0], np.cumsum(sizes)))
@@ -173,14 +176,30 @@ class Codec:
         np.cumsum(BYTE_CODE[data] * up[:-1], out=prefix[1:])
         h = mix((prefix[stop] - prefix[begin]) * down[begin])
         first = np.searchsorted(begin, start)
-        if dropout > 0:
+        _, at, which = np.unique(h, return_index=True, return_inverse=True)
+        chunk, offset = gather(data, begin[at], stop[at])
+        merges: list = []
+        made, made_at = self.segment(chunk, offset, np.zeros(len(at), U64), 0.0, merges if dropout > 0 else None)
+        if merges:
             of = np.repeat(np.arange(len(texts)), np.diff(first))
             ordinal = (np.arange(len(begin)) - first[of]).astype(U64)
-            draw = mix(mix(ids.astype(np.int64).view(U64)[of] * U64(0x9E3779B97F4A7C15) + U64(seed)) + ordinal) % U64(variants)
-            h = mix(h + (draw + U64(1)) * U64(0xC2B2AE3D27D4EB4F)) + mix(np.array([seed], np.int64).view(U64))
-        salt, at, which = np.unique(h, return_index=True, return_inverse=True)
-        chunk, offset = gather(data, begin[at], stop[at])
-        made, made_at = self.segment(chunk, offset, salt, dropout)
+            draw = mix(mix(ids.astype(np.int64).view(U64)[of] * U64(0x9E3779B97F4A7C15) + U64(seed)) + ordinal)
+            salt = mix(h + (draw + U64(1)) * U64(0xC2B2AE3D27D4EB4F)) + mix(np.array([seed], np.int64).view(U64))
+            # An occurrence that drops no merge of the plain segmentation has that one; the others are merged one by one.
+            owner, span = (np.concatenate(x) for x in zip(*merges))
+            order = np.argsort(owner, kind="stable")
+            edge = np.searchsorted(owner[order], np.arange(len(at) + 1))
+            spans, span_at = gather(span[order], edge[which], edge[which + 1])
+            who = np.repeat(np.arange(len(which)), np.diff(span_at))
+            limit = U64(min(int(dropout * 2.0**64), 2**64 - 1))
+            hit = np.unique(who[mix(mix(salt[who] + spans)) < limit])
+            if len(hit):
+                chunk, offset = gather(data, begin[hit], stop[hit])
+                more, more_at = self.segment(chunk, offset, salt[hit], dropout)
+                which = which.copy()
+                which[hit] = len(at) + np.arange(len(hit))
+                made_at = np.concatenate((made_at, made_at[-1] + more_at[1:]))
+                made = np.concatenate((made, more))
         out, out_at = gather(made, made_at[which], made_at[which + 1])
         return out, out_at[first]
 
@@ -199,7 +218,7 @@ def codec(path: str) -> Codec:
 _LIMIT = 1 << 20
 
 
-def encode(docs: DataFrame, model_path: str, dropout: float = 0.1, seed: int = 0, variants: int = 4, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def encode(docs: DataFrame, model_path: str, dropout: float = 0.1, seed: int = 0, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, ids, lossless): the pieces of every whole text; lossless tells that decoding gave the text again."""
     prepare(docs.sparkSession)
 
@@ -209,7 +228,7 @@ def encode(docs: DataFrame, model_path: str, dropout: float = 0.1, seed: int = 0
             keys = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
             for a, b in slices(texts, _LIMIT):
                 c = codec(model_path)
-                ids, offset = c.encode(texts[a:b], keys[a:b], dropout, seed, variants)
+                ids, offset = c.encode(texts[a:b], keys[a:b], dropout, seed)
                 same = [x == y for x, y in zip(c.decode(ids, offset), texts[a:b])]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(offset.astype(np.int32)), pa.array(ids)), pa.array(same)], ["doc_id", "ids", "lossless"])
 
@@ -230,7 +249,7 @@ def decode(pieces: DataFrame, model_path: str) -> DataFrame:
     return pieces.select(F.col("doc_id").cast("bigint").alias("doc_id"), "ids").mapInArrow(run, "doc_id bigint, text string")
 
 
-def digest(docs: DataFrame, model_path: str, dropout: float = 0.1, seed: int = 0, variants: int = 4) -> DataFrame:
+def digest(docs: DataFrame, model_path: str, dropout: float = 0.1, seed: int = 0) -> DataFrame:
     """(doc_id, n_pieces, ids_sha256, lossless): as encode, with the pieces (little-endian 32-bit ids) reduced to a digest."""
     prepare(docs.sparkSession)
 
@@ -240,7 +259,7 @@ def digest(docs: DataFrame, model_path: str, dropout: float = 0.1, seed: int = 0
             keys = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
             for a, b in slices(texts, _LIMIT):
                 c = codec(model_path)
-                ids, offset = c.encode(texts[a:b], keys[a:b], dropout, seed, variants)
+                ids, offset = c.encode(texts[a:b], keys[a:b], dropout, seed)
                 same = [x == y for x, y in zip(c.decode(ids, offset), texts[a:b])]
                 sha = [hashlib.sha256(ids[i:j].tobytes()).hexdigest() for i, j in zip(offset[:-1], offset[1:])]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(offset)), pa.array(sha), pa.array(same)], ["doc_id", "n_pieces", "ids_sha256", "lossless"])
