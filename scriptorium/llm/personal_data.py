@@ -169,21 +169,23 @@ class Region:
         return out
 
 
-def regions(text: str, reach: int = 40) -> list[tuple[int, int]]:
-    """Ranges around digits and @ signs that hold every candidate segment: they grow over whole runs of symbols, letters and single spaces."""
+#: Atoms before a candidate whose words can be its cue.
+_CUE_REACH = 16
+
+
+def regions(text: str) -> list[tuple[int, int]]:
+    """Ranges around digits and @ signs that hold every candidate segment: a segment's longest reach in atoms to both sides, the words of its cue, and the atom after it."""
+    spots = [(m.start(), m.end()) for m in _ATOM.finditer(text)]
     found: list[tuple[int, int]] = []
-    for m in re.finditer(r"[^\s]*[0-9@][^\s]*", text):
-        a, b = max(0, m.start() - reach), min(len(text), m.end() + 1)
-        if found and a <= found[-1][1]:
-            found[-1] = (found[-1][0], b)
+    for k, (a, b) in enumerate(spots):
+        if not _SIGNAL.search(text, a, b):
+            continue
+        first, last = max(0, k - MAX_ATOMS - _CUE_REACH), min(len(spots), k + MAX_ATOMS + 1)
+        if found and first <= found[-1][1]:
+            found[-1] = (found[-1][0], last)
         else:
-            found.append((a, b))
-    out = []
-    for a, b in found:
-        while a and not text[a - 1].isspace():
-            a -= 1
-        out.append((a, b))
-    return out
+            found.append((first, last))
+    return [(spots[a][0], spots[b - 1][1]) for a, b in found]
 
 
 class Model:
