@@ -102,9 +102,58 @@ def link(docs: DataFrame, size: int = 3, id_column: str = "doc_id", text_column:
     return own.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, size: int = 5) -> DataFrame:
-    """The documents, with their columns, that have the smallest doc_id of their group; one row of rows that share a doc_id. Rows with a null doc_id stay."""
+def shingle_hashes(text: bytes, size: int = 5, seed: int = 42) -> np.ndarray:
+    """Distinct hashes of the `size`-word shingles of a text, in order; none without words."""
+    words = text.translate(_LOWER).split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(words[i : i + size]), seed) for i in range(max(1, len(words) - size + 1))], np.uint64))
+
+
+def alike(docs: DataFrame, size: int = 5, similarity: float = 0.8, keys: int = 12) -> DataFrame:
+    """(a, b) links of doc_ids whose shingle sets have a Jaccard similarity of `similarity` or more.
+
+    Candidates share one of their `keys` smallest shingle hashes; within a key
+    each is compared with the smallest and the largest id, and in keys of up to
+    64 documents with all. Shared hashes are then counted on the whole sets.
+    """
+    prepare(docs.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            sets = [shingle_hashes(t, size) for t in encoded(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["id", "hashes"])
+
+    own = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "id bigint, hashes array<bigint>")
+    # Equal sets are one node: crowds of copies cost nothing here.
+    sets = cut(own.where("size(hashes) > 0").groupBy(F.xxhash64("hashes").alias("s1"), F.xxhash64(F.lit(1), "hashes").alias("s2")).agg(F.min("id").alias("id"), F.any_value("hashes").alias("hashes"), F.collect_set("id").alias("same")))
+    copies = sets.select(F.col("id").alias("a"), F.explode("same").alias("b")).where("a <> b")
+    key = sets.select("id", F.size("hashes").alias("n"), F.explode(F.slice("hashes", 1, keys)).alias("key"))
+    ends = cut(key.groupBy("key").agg(F.count("*").alias("members"), F.min(F.struct("id", "n")).alias("low"), F.max(F.struct("id", "n")).alias("high")).where("members > 1"))
+    held = cut(key.join(ends, "key"))
+    fits = f"least(n, m) >= {similarity} * greatest(n, m) - 1e-9 and a <> b"
+    some = [held.select(F.col("id").alias("a"), "n", F.col(f"{e}.id").alias("b"), F.col(f"{e}.n").alias("m")) for e in ("low", "high")]
+    few = held.where("members between 3 and 64").select("key", "id", "n")
+    some.append(few.select("key", F.col("id").alias("a"), "n").join(few.select("key", F.col("id").alias("b"), F.col("n").alias("m")), "key").where("a < b").select("a", "n", "b", "m"))
+    pairs = cut(some[0].unionByName(some[1]).unionByName(some[2]).where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("y")), "b")
+    both = both.withColumn("shared", F.size(F.array_intersect("x", "y")))
+    return both.where(f"shared >= {similarity} * (size(x) + size(y) - shared) - 1e-9").select("a", "b").unionByName(copies)
+
+
+def keep_one(docs: DataFrame, size: int = 5, similarity: float | None = None) -> DataFrame:
+    """The documents, with their columns, that have the smallest doc_id of their group; one row of rows that share a doc_id. Rows with a null doc_id stay.
+
+    Groups are those of `link`; with similarity, also of `alike`.
+    """
     groups = link(docs, size)
+    if similarity is not None:
+        groups = cut(groups)
+        near = alike(docs, size, similarity).unionByName(groups.where("component_id is not null and doc_id is not null").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")))
+        found = components(near)
+        first = found.groupBy("root").agg(F.min("node").alias("least"))
+        of = found.join(first, "root").select(F.col("node").alias("doc_id"), "least")
+        groups = groups.join(of, "doc_id", "left").select("doc_id", F.coalesce("least", "component_id").alias("component_id"))
     removed = groups.where("component_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
     kept = docs.join(removed, docs["doc_id"] == removed["_gone"], "left_anti")
     twice = cut(groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_twice")))
