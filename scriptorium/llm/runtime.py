@@ -17,14 +17,17 @@ _ROOT = str(Path(__file__).resolve().parents[2])
 def prepare(spark: SparkSession) -> None:
     """Workers can import this package; checkpoints go to the cluster's shared folder.
 
-    spark.checkpoint.dir is the cluster's choice and is left alone. Only where
-    it is unset, as in local tests, a local folder is used.
+    spark.checkpoint.dir is the cluster's choice and is left alone. Only a
+    local session may leave it unset, as in tests; a folder of this machine is
+    used there. Elsewhere executors could not see such a folder, so it is an error.
     """
     sc = spark.sparkContext
     path = sc.environment.get("PYTHONPATH", "")
     if _ROOT not in path.split(":"):
         sc.environment["PYTHONPATH"] = f"{path}:{_ROOT}" if path else _ROOT
     if not sc.getConf().get("spark.checkpoint.dir") and not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="scriptorium-checkpoint-"))
 
 
@@ -38,25 +41,67 @@ def cut(df: DataFrame) -> DataFrame:
     """Write df as a compressed table in the shared checkpoint folder and go on from there.
 
     Lost executors then repeat nothing that came before, and later plans know
-    the table's size. Tables of ended sessions may be deleted: their folders
-    begin with `scriptorium-cut-`; this process removes its own when it ends.
+    the table's size. `release` removes a cut whose successor is written; what
+    is left goes when the session or this process ends. Folders that a killed
+    process left behind begin with `scriptorium-cut-`.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/scriptorium-cut-{uuid.uuid4().hex}"
     df.write.option("compression", "lz4_raw").parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _written[path] = spark
+    out._scriptorium_cut = path
+    return out
 
 
-_written: list[tuple[SparkSession, str]] = []
+_written: dict[str, SparkSession] = {}
+
+
+def release(*cuts: DataFrame) -> None:
+    """Delete these cuts. Nothing that is still to be computed may read them."""
+    for df in cuts:
+        path = getattr(df, "_scriptorium_cut", None)
+        spark = _written.pop(path, None)
+        if spark is not None:
+            remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 @atexit.register
 def _clean() -> None:
-    for spark, path in _written:
+    for path, spark in _written.items():
         with contextlib.suppress(Exception):  # the session may have been stopped
-            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            remove(spark, path)
+
+
+def parallel(df: DataFrame, *columns: str) -> DataFrame:
+    """df dealt out anew over all shuffle partitions, for a small table whose rows are about to multiply."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
+#: A key with a larger share of the rows than one in this many is joined by broadcast; there are never more such keys.
+_HOT = 1000
+
+
+def hot_join(rows: DataFrame, facts: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """rows inner-joined with facts, which has one row a key and in `count` how many of the rows have it.
+
+    No key loads one task: at most _HOT keys can each hold more than one in
+    _HOT of the rows; these are broadcast, a table of bounded size. The rows of
+    all other keys are shuffled. Both tables should be cuts, they are read twice.
+    """
+    total = facts.agg(F.sum(count)).first()[0] or 0
+    hot = facts.where(F.col(count) * _HOT > total).drop(count)
+    cold = facts.where(F.col(count) * _HOT <= total).drop(count)
+    names = [c for c in (*rows.columns, *facts.columns) if c not in keys and c != count]
+    some = rows.join(F.broadcast(hot), keys)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys)
+    return some.select(*keys, *names).unionByName(rest.select(*keys, *names))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

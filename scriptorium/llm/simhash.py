@@ -6,10 +6,11 @@ two share one of the 64 variants "segment s with bit i wiped out". Variants are
 joined by equality and each candidate is verified on the whole fingerprint.
 
 Distinct fingerprints are linked, not documents, so exact copies cost nothing.
-A variant shared by more than `crowd` fingerprints is not paired up: its
-fingerprints emit all their variants with two bits wiped out instead. Such a
-variant fits at most four fingerprints, all of them within two bits, so a
-star to the smallest is exact and linear in the crowd.
+A variant shared by more than `crowd` fingerprints is not paired up: each of
+its fingerprints is dealt to the 65 spots that are itself or one bit away. Two
+fingerprints within two bits share a spot, and all that share a spot are
+within two bits of each other, so a star to the spot's smallest is exact, and
+a crowd costs 65 rows a member.
 
 Cases: texts without words (null, empty, white space) have fingerprint zero
 and link like any other; texts shorter than a shingle are one shingle.
@@ -18,8 +19,6 @@ Repeated rows share a fingerprint. Extra columns are ignored by `link`.
 
 from __future__ import annotations
 
-from itertools import combinations
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -27,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .runtime import cut, prepare
+from .runtime import cut, hot_join, parallel, prepare, release
 from .textblock import LOWER, encoded
 
 _LOWER = LOWER.tobytes()
@@ -73,33 +72,38 @@ def variants(fps: DataFrame) -> DataFrame:
 def edges(fps: DataFrame, crowd: int = 32) -> DataFrame:
     """(a, b) links that connect all distinct fingerprints within two bits of each other."""
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2
-    shared = variants(fps).groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1")
-    shared = cut(shared)
+    fps = parallel(fps.select("fp"))
+    shared = cut(variants(fps).groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"))
     twos = shared.where("n = 2").select("a", "b").where(near)
-    members = variants(fps).join(shared.where(f"n > 2 and n <= {crowd}").select("key"), "key")
-    pairs = members.select("key", F.col("fp").alias("a")).join(members.select("key", F.col("fp").alias("b")), "key").where("a < b").select("a", "b").where(near)
-    crowded = variants(fps).join(shared.where(f"n > {crowd}").select("key"), "key", "left_semi").select("fp").distinct()
-    masks = F.array(*[F.lit(_signed(~(1 << i | 1 << j))) for i, j in combinations(range(64), 2)])
-    wiped = crowded.select("fp", F.posexplode(masks).alias("which", "mask")).select("fp", "which", F.col("fp").bitwiseAND(F.col("mask")).alias("rest"))
-    stars = wiped.groupBy("which", "rest").agg(F.collect_set("fp").alias("four")).where(F.size("four") > 1)
-    stars = stars.select(F.array_min("four").alias("a"), F.explode("four").alias("b")).where("a <> b")
-    return twos.unionByName(pairs).unionByName(stars).distinct()
+    members = cut(variants(fps).join(shared.where("n > 2").select("key", "n"), "key"))
+    few = members.where(f"n <= {crowd}")
+    pairs = few.select("key", F.col("fp").alias("a")).join(few.select("key", F.col("fp").alias("b")), "key").where("a < b").select("a", "b").where(near)
+    crowded = parallel(members.where(f"n > {crowd}").select("fp").distinct())
+    flips = F.array(F.lit(0).cast("long"), *[F.lit(_signed(1 << i)) for i in range(64)])
+    around = crowded.select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("spot"))
+    heads = around.groupBy("spot").agg(F.min("fp").alias("a"), F.max("fp").alias("last")).where("a <> last")
+    stars = around.join(heads.select("spot", "a"), "spot").select("a", F.col("fp").alias("b")).where("a <> b")
+    out = cut(twos.unionByName(pairs).unionByName(stars).distinct())
+    release(shared, members)
+    return out
 
 
 def _signed(x: int) -> int:
-    x &= (1 << 64) - 1
     return x - (1 << 64) if x >> 63 else x
 
 
 def link(docs: DataFrame, size: int = 3, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, fp, component_id) for every document: component_id is the smallest doc_id that links reach."""
     own = cut(fingerprints(docs, size, id_column, text_column))
-    fps = cut(own.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = components(edges(fps.select("fp")))
-    joined = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
-    smallest = joined.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = cut(joined.join(smallest, "root").select("fp", "component_id"))
-    return own.join(of, "fp").select("doc_id", "fp", "component_id")
+    fps = cut(own.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
+    links = edges(fps)
+    roots = components(links)
+    # Fingerprints without links stand for themselves and are not joined to a root.
+    linked = cut(fps.join(roots.withColumnRenamed("node", "fp"), "fp").select("fp", "root", "first"))
+    smallest = linked.groupBy("root").agg(F.min("first").alias("component_id"))
+    of = cut(fps.join(linked.join(smallest, "root").select("fp", "component_id"), "fp", "left").select("fp", "n", F.coalesce("component_id", "first").alias("component_id")))
+    release(links, roots, linked, fps)
+    return hot_join(own, of, ["fp"], "n").select("doc_id", "fp", "component_id")
 
 
 def shingle_hashes(text: bytes, size: int = 5, seed: int = 42) -> np.ndarray:
