@@ -71,9 +71,10 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per document: how many lines stay, and a digest of the text that they make."""
+    """One row per document: how many lines stay (none in an empty text, null without a text), and a digest of the text that they make."""
     out = line_dedup.dedup(table(spark, sf_dir, "documents"), drop_emptied=False, sketch=True)
-    return out.select("doc_id", (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).alias("n_lines"), F.sha2("text", 256).alias("text_sha256"))
+    lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    return out.select("doc_id", F.when(F.col("text") == "", 0).otherwise(lines).alias("n_lines"), F.sha2("text", 256).alias("text_sha256"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

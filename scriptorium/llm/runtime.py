@@ -88,6 +88,16 @@ def parallel(df: DataFrame, *columns: str) -> DataFrame:
 _HOT = 1000
 
 
+def apart(df: DataFrame) -> DataFrame:
+    """df, whose operators share no generated method with those that follow.
+
+    The JVM leaves methods of more than 8000 bytes to the interpreter, which is
+    some five times slower; a coalesce to more partitions than there are moves
+    no row and ends a method.
+    """
+    return df.coalesce(1 << 20)
+
+
 def hot_join(rows: DataFrame, facts: DataFrame, keys: list[str], count: str) -> DataFrame:
     """rows inner-joined with facts, which has one row a key and in `count` how many of the rows have it.
 
@@ -104,6 +114,24 @@ def hot_join(rows: DataFrame, facts: DataFrame, keys: list[str], count: str) ->
     return some.select(*keys, *names).unionByName(rest.select(*keys, *names))
 
 
+#: Slots of a sieve, of 64 bits each: a broadcast of at most this many pairs of longs, whatever the table's size.
+_SLOTS = 19
+
+
+def sieve(keys: DataFrame, key: str) -> DataFrame:
+    """(slot, bits): a bitmap of the hash column `key`, for `sift`. Its size is bounded by construction."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(key, 58 - _SLOTS).bitwiseAND(63).cast("int"))
+    return cut(keys.groupBy(F.shiftrightunsigned(key, 64 - _SLOTS).alias("_slot")).agg(F.bit_or(bit).alias("_bits")))
+
+
+def sift(rows: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """The rows whose hash may be among the keys of a sieve, without a shuffle: all that are, and few that are not while the bitmap is thinly filled."""
+    slot = F.shiftrightunsigned(key, 64 - _SLOTS)
+    bit = F.shiftrightunsigned(key, 58 - _SLOTS).bitwiseAND(63).cast("int")
+    held = rows.join(F.broadcast(found), slot == F.col("_slot")).where(F.getbit("_bits", bit) == 1)
+    return held.drop("_slot", "_bits")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
