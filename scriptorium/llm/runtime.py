@@ -8,7 +8,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _ROOT = str(Path(__file__).resolve().parents[2])
@@ -118,20 +118,37 @@ def hot_join(rows: DataFrame, facts: DataFrame, keys: list[str], count: str) ->
 _SLOTS = 19
 
 
+def sieve_slot(key: str) -> Column:
+    return F.shiftrightunsigned(key, 64 - _SLOTS)
+
+
+def sieve_bit(key: str) -> Column:
+    return F.shiftrightunsigned(key, 58 - _SLOTS).bitwiseAND(63).cast("int")
+
+
 def sieve(keys: DataFrame, key: str) -> DataFrame:
     """(slot, bits): a bitmap of the hash column `key`, for `sift`. Its size is bounded by construction."""
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(key, 58 - _SLOTS).bitwiseAND(63).cast("int"))
-    return cut(keys.groupBy(F.shiftrightunsigned(key, 64 - _SLOTS).alias("_slot")).agg(F.bit_or(bit).alias("_bits")))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), sieve_bit(key))
+    return cut(keys.groupBy(sieve_slot(key).alias("_slot")).agg(F.bit_or(bit).alias("_bits")))
 
 
 def sift(rows: DataFrame, found: DataFrame, key: str) -> DataFrame:
     """The rows whose hash may be among the keys of a sieve, without a shuffle: all that are, and few that are not while the bitmap is thinly filled."""
-    slot = F.shiftrightunsigned(key, 64 - _SLOTS)
-    bit = F.shiftrightunsigned(key, 58 - _SLOTS).bitwiseAND(63).cast("int")
-    held = rows.join(F.broadcast(found), slot == F.col("_slot")).where(F.getbit("_bits", bit) == 1)
+    held = rows.join(F.broadcast(found), sieve_slot(key) == F.col("_slot")).where(F.getbit("_bits", sieve_bit(key)) == 1)
     return held.drop("_slot", "_bits")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes to differ from all columns of df."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

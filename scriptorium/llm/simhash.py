@@ -13,8 +13,10 @@ within two bits of each other, so a star to the spot's smallest is exact, and
 a crowd costs 65 rows a member.
 
 Cases: texts without words (null, empty, white space) have fingerprint zero
-and link like any other; texts shorter than a shingle are one shingle.
-Repeated rows share a fingerprint. Extra columns are ignored by `link`.
+and link like any other; texts shorter than a shingle are one shingle; texts of
+any length are read whole. Repeated rows share a fingerprint; of equal smallest
+ids any row stands for them. An empty table gives no rows. Extra columns are
+ignored by `link` and passed through by `keep_one`, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .runtime import cut, hot_join, parallel, prepare, release
+from .runtime import cut, fresh, hot_join, parallel, prepare, release, sieve, sieve_bit, sieve_slot, sift
 from .textblock import LOWER, encoded
 
 _LOWER = LOWER.tobytes()
@@ -114,55 +116,108 @@ def shingle_hashes(text: bytes, size: int = 5, seed: int = 42) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(words[i : i + size]), seed) for i in range(max(1, len(words) - size + 1))], np.uint64))
 
 
-def alike(docs: DataFrame, size: int = 5, similarity: float = 0.8, keys: int = 12) -> DataFrame:
-    """(a, b) links of doc_ids whose shingle sets have a Jaccard similarity of `similarity` or more.
+#: Smallest shingle hashes kept of a set, how many of them two sets of Jaccard similarity 0.8 share at least (a binomial of
+#: 12 draws with odds 0.8 stays below 4 once in 10,000 times), and the documents of a key that are all compared.
+_SKETCH, _COMMON, _CROWD = 12, 4, 64
 
-    Candidates share one of their `keys` smallest shingle hashes; within a key
-    each is compared with the smallest and the largest id, and in keys of up to
-    64 documents with all. Shared hashes are then counted on the whole sets.
-    """
+
+def _sketches(docs: DataFrame, size: int) -> DataFrame:
+    """(doc_id, rk, fp, n, s1, s2, keys) of (doc_id, rk, text): fingerprint, size and hash of the shingle set, and its smallest hashes."""
     prepare(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
-            sets = [shingle_hashes(t, size) for t in encoded(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["id", "hashes"])
-
-    own = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "id bigint, hashes array<bigint>")
-    # Equal sets are one node: crowds of copies cost nothing here.
-    sets = cut(own.where("size(hashes) > 0").groupBy(F.xxhash64("hashes").alias("s1"), F.xxhash64(F.lit(1), "hashes").alias("s2")).agg(F.min("id").alias("id"), F.any_value("hashes").alias("hashes"), F.collect_set("id").alias("same")))
-    copies = sets.select(F.col("id").alias("a"), F.explode("same").alias("b")).where("a <> b")
-    key = sets.select("id", F.size("hashes").alias("n"), F.explode(F.slice("hashes", 1, keys)).alias("key"))
-    ends = cut(key.groupBy("key").agg(F.count("*").alias("members"), F.min(F.struct("id", "n")).alias("low"), F.max(F.struct("id", "n")).alias("high")).where("members > 1"))
-    held = cut(key.join(ends, "key"))
-    fits = f"least(n, m) >= {similarity} * greatest(n, m) - 1e-9 and a <> b"
-    some = [held.select(F.col("id").alias("a"), "n", F.col(f"{e}.id").alias("b"), F.col(f"{e}.n").alias("m")) for e in ("low", "high")]
-    few = held.where("members between 3 and 64").select("key", "id", "n")
-    some.append(few.select("key", F.col("id").alias("a"), "n").join(few.select("key", F.col("id").alias("b"), F.col("n").alias("m")), "key").where("a < b").select("a", "n", "b", "m"))
-    pairs = cut(some[0].unionByName(some[1]).unionByName(some[2]).where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("y")), "b")
+            fps, sizes, s1, s2, keys = [], [], [], [], []
+            for t in encoded(batch.column(2)):
+                found = shingle_hashes(t, size)
+                fps.append(fingerprint(t, size))
+                sizes.append(len(found))
+                digest = xxhash.xxh3_128_digest(found.tobytes())
+                s1.append(int.from_bytes(digest[:8], "little", signed=True))
+                s2.append(int.from_bytes(digest[8:], "little", signed=True))
+                keys.append(found[:_SKETCH].view(np.int64))
+            columns = [batch.column(0), batch.column(1), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "rk", "fp", "n", "s1", "s2", "keys"])
+
+    return docs.select("doc_id", "rk", "text").mapInArrow(run, "doc_id bigint, rk bigint, fp bigint, n int, s1 bigint, s2 bigint, keys array<bigint>")
+
+
+def _sets(docs: DataFrame, size: int) -> DataFrame:
+    """(spot, hashes) of (spot, text): the whole shingle sets."""
+
+    def run(batches):
+        for batch in batches:
+            found = [shingle_hashes(t, size).view(np.int64) for t in encoded(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["spot", "hashes"])
+
+    return docs.select("spot", "text").mapInArrow(run, "spot bigint, hashes array<bigint>")
+
+
+def alike(docs: DataFrame, own: DataFrame, size: int, similarity: float) -> DataFrame:
+    """(a, b) links of fingerprints whose texts have shingle sets with a Jaccard similarity of `similarity` or more.
+
+    own has the sketches of docs. Equal sets are one node. Candidates share one
+    of their smallest hashes, and _COMMON of them in all; within a key each set
+    is compared with the smallest and the largest id, and in keys of up to
+    _CROWD sets with all. The whole sets decide; they are built again for the
+    candidates alone, which are found by a bitmap of bounded size.
+    """
+    some = own.where("n > 0")
+    sets = cut(some.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "rk")).alias("at"), F.min("n").alias("n"), F.min("fp").alias("fp"), F.max("fp").alias("other"), F.any_value("keys").alias("keys")).select(F.xxhash64("at.doc_id", "at.rk").alias("id"), "n", "fp", "other", "keys"))
+    # Texts with equal sets can still differ in how often a shingle stands in them, and so in their fingerprints.
+    same = some.select("s1", "s2", "fp").distinct()
+    same = same.groupBy("s1", "s2").agg(F.collect_set("fp").alias("fps")).where("size(fps) > 1").select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).where("a <> b")
+    key = parallel(sets.select("id", "n", "keys")).select("id", "n", F.explode("keys").alias("key"))
+    key = cut(key)
+    ends = cut(key.groupBy("key").agg(F.count("*").alias("members"), F.min(F.struct("id", "n")).alias("low"), F.max(F.struct("id", "n")).alias("high")).where("members > 1").withColumn("rows", F.col("members")))
+    held = cut(hot_join(key, ends, ["key"], "rows"))
+    fits = f"a <> b and least(n, m) >= {similarity} * greatest(n, m) - 1e-9"
+    tries = [held.select(F.col("id").alias("a"), "n", F.col(f"{e}.id").alias("b"), F.col(f"{e}.n").alias("m")) for e in ("low", "high")]
+    few = held.where(f"members between 3 and {_CROWD}").select("key", "id", "n")
+    tries.append(few.select("key", F.col("id").alias("a"), "n").join(few.select("key", F.col("id").alias("b"), F.col("n").alias("m")), "key").where("a < b").select("a", "n", "b", "m"))
+    pairs = tries[0].unionByName(tries[1]).unionByName(tries[2]).where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    side = lambda c, k, f: sets.select(F.col("id").alias(c), F.col("keys").alias(k), F.col("fp").alias(f))
+    pairs = pairs.join(side("a", "ka", "fa"), "a").join(side("b", "kb", "fb"), "b").where(F.size(F.array_intersect("ka", "kb")) >= F.least(F.lit(_COMMON), F.size("ka"), F.size("kb")))
+    pairs = cut(pairs.select("a", "b", "fa", "fb"))
+    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("spot")).distinct())
+    found = sieve(wanted, "spot")
+    near = sift(docs.select(F.xxhash64("doc_id", "rk").alias("spot"), "text"), found, "spot")
+    whole = cut(_sets(near, size).dropDuplicates(["spot"]))
+    both = pairs.join(whole.select(F.col("spot").alias("a"), F.col("hashes").alias("x")), "a").join(whole.select(F.col("spot").alias("b"), F.col("hashes").alias("y")), "b")
     both = both.withColumn("shared", F.size(F.array_intersect("x", "y")))
-    return both.where(f"shared >= {similarity} * (size(x) + size(y) - shared) - 1e-9").select("a", "b").unionByName(copies)
+    out = cut(both.where(f"shared >= {similarity} * (size(x) + size(y) - shared) - 1e-9").select(F.col("fa").alias("a"), F.col("fb").alias("b")).unionByName(same).where("a <> b").distinct())
+    release(sets, key, ends, held, pairs, wanted, found, whole)
+    return out
 
 
 def keep_one(docs: DataFrame, size: int = 5, similarity: float | None = None) -> DataFrame:
-    """The documents, with their columns, that have the smallest doc_id of their group; one row of rows that share a doc_id. Rows with a null doc_id stay.
+    """One document of each group, with its columns: the smallest in the order of (doc_id, hash of the text).
 
-    Groups are those of `link`; with similarity, also of `alike`.
+    Groups are those of `link`; with similarity, also of `alike`. Rows are told
+    apart by doc_id and text: rows that agree in both are one document and one
+    of them stays; rows that share only the doc_id are different documents. Rows
+    with a null doc_id stay. Only rows that may go are shuffled with their texts.
     """
-    groups = link(docs, size)
-    if similarity is not None:
-        groups = cut(groups)
-        near = alike(docs, size, similarity).unionByName(groups.where("component_id is not null and doc_id is not null").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")))
-        found = components(near)
-        first = found.groupBy("root").agg(F.min("node").alias("least"))
-        of = found.join(first, "root").select(F.col("node").alias("doc_id"), "least")
-        groups = groups.join(of, "doc_id", "left").select("doc_id", F.coalesce("least", "component_id").alias("component_id"))
-    removed = groups.where("component_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(removed, docs["doc_id"] == removed["_gone"], "left_anti")
-    twice = cut(groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_twice")))
-    if twice.isEmpty():
-        return kept
-    once = kept.join(twice, kept["doc_id"] == twice["_twice"], "left_anti")
-    again = kept.join(twice, kept["doc_id"] == twice["_twice"], "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(again)
+    names = fresh(docs, "_rk", "_spot", "_slot", "_bits", "_gone", "_twice")
+    rk, spot, slot, bits, gone, twice = names
+    keyed = docs.select("*", F.xxhash64("text").alias(rk), F.xxhash64(F.col("doc_id").cast("bigint"), F.xxhash64("text")).alias(spot))
+    light = keyed.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(rk).alias("rk"), "text")
+    own = cut(_sketches(light, size).drop("keys") if similarity is None else _sketches(light, size))
+    rows = cut(own.groupBy("doc_id", "rk").agg(F.count("*").alias("copies"), F.min("fp").alias("fp")))
+    fps = cut(rows.groupBy("fp").agg(F.count("*").alias("rows"), F.min(F.struct("doc_id", "rk")).alias("first")))
+    near = edges(fps.select("fp"))
+    links = near if similarity is None else cut(near.unionByName(alike(light, own, size, similarity)))
+    roots = components(links)
+    joined = cut(fps.join(roots.withColumnRenamed("node", "fp"), "fp").select("fp", "root", "first"))
+    best = joined.groupBy("root").agg(F.min("first").alias("best"))
+    of = cut(fps.join(joined.join(best, "root").select("fp", "best"), "fp", "left").select("fp", "rows", F.coalesce("best", "first").alias("best")))
+    marked = hot_join(rows, of, ["fp"], "rows").withColumn("stays", F.struct("doc_id", "rk") == F.col("best"))
+    special = cut(marked.where("not stays or copies > 1").select(F.xxhash64("doc_id", "rk").alias(spot), (~F.col("stays")).alias(gone)))
+    found = sieve(special, spot)
+    release(own, rows, fps, near, links, roots, joined, of)
+    flagged = keyed.join(F.broadcast(found.toDF(slot, bits)), sieve_slot(spot) == F.col(slot), "left")
+    maybe = F.col("doc_id").isNotNull() & F.coalesce(F.getbit(bits, sieve_bit(spot)) == 1, F.lit(False))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    doubtful = flagged.where(maybe).join(special, spot, "left")
+    whole = flagged.where(~maybe).select(*columns).unionByName(doubtful.where(F.col(gone).isNull()).select(*columns))
+    return whole.unionByName(doubtful.where(~F.col(gone)).dropDuplicates([spot]).select(*columns))
