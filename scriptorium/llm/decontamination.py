@@ -1,21 +1,32 @@
 """Benchmark decontamination: size-partitioned MinHash containment search.
 
-Each benchmark item is a set of w-word shingles. Items are partitioned by the
-size of that set (powers of two). In a partition whose largest set has u
-shingles, an item's sketch is its k = floor((1 - t) * u) + 1 smallest shingle
-hashes. A document that contains a share t of the item's shingles misses at
-most floor((1 - t) * n) of them, so it holds one of the sketch: a bottom-k
-MinHash search with no lost item at any document length. Candidates are then
-verified by exact containment of the item's shingles, compared as words.
+Each benchmark item is a set of w-word shingles; an item's sketch is its
+k = floor((1 - t) * n) + 1 smallest of n shingle hashes. A document that holds
+a share t of the shingles misses at most floor((1 - t) * n) of them, so it
+holds one of the sketch: a bottom-k MinHash search that loses no item at any
+document length. Items are partitioned by size (powers of two). A partition's
+largest sketch hash is its cutoff: of a document, only the hashes below the
+cutoff, its own sketch for items of that size, are looked up. Sketches of
+large items reach a fifth of the hash range, so long items cost a fifth of a
+document; only the partitions of short items look at most of it. Candidates
+are then verified by exact containment of the shingles, compared as words.
 
-Sketches are broadcast in blocks of items of a fixed number of bytes at most;
-each block is one pass over the documents.
+Items with equal words are one item, which is verified once. `search` reports
+each of them, or with expand=False the smallest item_id alone, with the number
+of copies (`item_classes` names them): so copies multiply no rows.
+
+The index of a benchmark of up to block_bytes is broadcast and the documents
+are read once. A larger benchmark goes through the driver in blocks of that
+size, one at a time: first a bitmap of fixed size takes the sketch hashes of
+all blocks, one pass over the documents keeps those that hit it, and only
+these are searched block by block.
 
 Words are lower-cased runs of letters and digits, so punctuation and line
 breaks inside a passage do not hide it. An item of fewer than w words is one
 shingle of all its words. Cases: items or documents that are null or have no
-words match nothing; repeated items and rows are reported each; an empty
-benchmark gives no rows; extra columns are ignored.
+words match nothing; documents of any length are read whole; repeated rows are
+reported each; copies in different blocks of a large benchmark are different items; an empty benchmark or table gives no rows; extra columns are
+ignored by `search` and passed through by `remove_contaminated`.
 """
 
 from __future__ import annotations
@@ -23,17 +34,19 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import prepare
+from .runtime import cut, prepare, release
 from .textblock import NON_ALNUM, U64, Block, encoded, lowered, mix, slices
 
 _STEP = U64(0xA24BAED4963EE407)
-SCHEMA = "doc_id bigint, item_id bigint, n_shingles int, n_found int, containment double"
+SCHEMA = "doc_id bigint, item_id bigint, n_shingles int, n_found int, containment double, item_copies int"
+_COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -63,43 +76,46 @@ def _rows(texts: list[bytes], widths: list[int]) -> Iterator[tuple[int, np.ndarr
 
 
 class Index:
-    """Sketches of a block of items: a sorted array of hashes and the items that each stands for."""
+    """Sketches of a block of items, by size: sorted arrays of hashes and the items that each stands for."""
 
     def __init__(self, items: list[tuple[int, bytes]], width: int, threshold: float):
         self.threshold, self.sets, self.ids, self.widths = threshold, [], [], []
-        hashes, owner = [], []
-        sizes = []
-        for item, text in items:
-            found = shingles_of(words_of(text), width)
-            if found:
-                self.ids.append(item)
-                self.sets.append(found)
-                self.widths.append(len(next(iter(found))))
-                sizes.append(len(found))
-        top: dict[int, int] = defaultdict(int)
-        for n in sizes:
-            top[n.bit_length()] = max(top[n.bit_length()], n)
+        known: dict[tuple[bytes, ...], int] = {}
+        for item, text in sorted(items):
+            words = tuple(words_of(text))
+            if words in known:
+                self.ids[known[words]].append(item)
+            elif words:
+                known[words] = len(self.sets)
+                self.ids.append([item])
+                self.sets.append(shingles_of(list(words), width))
+                self.widths.append(min(width, len(words)))
+        held: dict[tuple[int, int], list[tuple[np.ndarray, int]]] = defaultdict(list)
         for i, found in enumerate(self.sets):
-            u = top[sizes[i].bit_length()]
-            k = min(sizes[i], int((1 - threshold) * u + 1e-9) + 1)
-            h = np.concatenate([x for _, x, _ in _rows([b" ".join(s) for s in found], [self.widths[i]])])
-            h = np.unique(h)[:k]
-            hashes.extend(h.tolist())
-            owner.extend([i] * len(h))
-        order = np.argsort(np.array(hashes, U64), kind="stable")
-        self.hashes, self.owner = np.array(hashes, U64)[order], np.array(owner, np.int64)[order]
-        self.filter = np.zeros(1 << 20, bool)
-        self.filter[(self.hashes >> U64(44)).astype(np.int64)] = True
+            h = np.unique(np.concatenate([x for _, x, _ in _rows([b" ".join(s) for s in found], [self.widths[i]])]))
+            held[self.widths[i], len(found).bit_length()].append((h[: int((1 - threshold) * len(found) + 1e-9) + 1], i))
+        #: (shingle width, cutoff, filter, hashes, owners) of each partition.
+        self.parts = []
+        for (w, _), sketches in sorted(held.items()):
+            hashes = np.concatenate([h for h, _ in sketches])
+            owner = np.repeat([i for _, i in sketches], [len(h) for h, _ in sketches])
+            order = np.argsort(hashes, kind="stable")
+            filter_ = np.zeros(1 << 20, bool)
+            filter_[(hashes >> U64(44)).astype(np.int64)] = True
+            self.parts.append((w, hashes.max(), filter_, hashes[order], owner[order]))
 
     def search(self, texts: list[bytes]) -> Iterator[tuple[int, int, int, int]]:
         """(text, item, shingles of the item, shingles found) of every match."""
         candidates: dict[int, set[int]] = defaultdict(set)
-        for width, h, of in _rows(texts, sorted(set(self.widths))):
-            at = np.flatnonzero(self.filter[(h >> U64(44)).astype(np.int64)])
-            h, of = h[at], of[at]
-            lo, hi = np.searchsorted(self.hashes, h, "left"), np.searchsorted(self.hashes, h, "right")
-            for j in np.flatnonzero(hi > lo):
-                candidates[int(of[j])].update(i for i in self.owner[lo[j] : hi[j]].tolist() if self.widths[i] == width)
+        for width, all_h, all_of in _rows(texts, sorted(set(self.widths))):
+            for w, cutoff, filter_, hashes, owner in self.parts:
+                if w != width:
+                    continue
+                at = np.flatnonzero((all_h <= cutoff) & filter_[(all_h >> U64(44)).astype(np.int64)])
+                h, of = all_h[at], all_of[at]
+                lo, hi = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
+                for j in np.flatnonzero(hi > lo):
+                    candidates[int(of[j])].update(owner[lo[j] : hi[j]].tolist())
         for d in sorted(candidates):
             words = words_of(texts[d])
             have: dict[int, set] = {}
@@ -126,47 +142,119 @@ def blocks_of(benchmark: DataFrame, item_column: str, text_column: str, block_by
         yield held
 
 
-def _searching(docs: DataFrame, index: Index):
-    prepare(docs.sparkSession)
-    return docs.sparkSession.sparkContext.broadcast(index)
+class Sieve:
+    """A bitmap of the sketch hashes of all blocks, of fixed size."""
+
+    def __init__(self, bits: int = 27):
+        self.bits, self.widths, self.seen = bits, set(), np.zeros(1 << bits >> 3, np.uint8)
+
+    def add(self, index: Index) -> None:
+        for w, _, _, hashes, _ in index.parts:
+            self.widths.add(w)
+            at = hashes >> U64(64 - self.bits)
+            np.bitwise_or.at(self.seen, (at >> U64(3)).astype(np.int64), np.uint8(1) << (at & U64(7)).astype(np.uint8))
+
+    def hits(self, texts: list[bytes]) -> np.ndarray:
+        out = np.zeros(len(texts), bool)
+        for _, h, of in _rows(texts, sorted(self.widths)):
+            at = h >> U64(64 - self.bits)
+            out[of[self.seen[(at >> U64(3)).astype(np.int64)] >> (at & U64(7)).astype(np.uint8) & np.uint8(1) > 0]] = True
+        return out
+
+
+def _keep(docs: DataFrame, text_column: str, chosen) -> DataFrame:
+    """The rows, with all columns, of which chosen(shared)(texts) is true; chosen is a broadcast and what to ask of it."""
+    shared, ask = chosen
+    at = docs.columns.index(text_column)
 
+    def run(batches):
+        for batch in batches:
+            texts = encoded(batch.column(at))
+            for a, b in slices(texts):
+                yield batch.slice(a, b - a).filter(pa.array(ask(shared.value, texts[a:b])))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _indexes(benchmark: DataFrame, width: int, threshold: float, item_column: str, text_column: str, block_bytes: int) -> Iterator[Index]:
+    return (Index(items, width, threshold) for items in blocks_of(benchmark, item_column, text_column, block_bytes))
+
+
+def _clean(index: Index, texts: list[bytes]) -> np.ndarray:
+    out = np.ones(len(texts), bool)
+    out[[d for d, *_ in index.search(texts)]] = False
+    return out
 
-def search(docs: DataFrame, benchmark: DataFrame, width: int = 5, threshold: float = 0.8, block_bytes: int = 8 << 20, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text_column: str = "text") -> DataFrame:
-    """(doc_id, item_id, n_shingles, n_found, containment) of every document and item with containment >= threshold."""
+
+def _found(light: DataFrame, shared, expand: bool) -> DataFrame:
+    def run(batches):
+        index = shared.value
+        for batch in batches:
+            texts = encoded(batch.column(1))
+            ids = batch.column(0).to_pylist()
+            for a, b in slices(texts):
+                got = [(ids[a + d], item, n, k, k / n, len(index.ids[i])) for d, i, n, k in index.search(texts[a:b]) for item in (index.ids[i] if expand else index.ids[i][:1])]
+                if got:
+                    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.int32())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got), kinds)], _COLUMNS)
+
+    return light.mapInArrow(run, SCHEMA)
+
+
+def search(docs: DataFrame, benchmark: DataFrame, width: int = 5, threshold: float = 0.8, block_bytes: int = 8 << 20, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text_column: str = "text", expand: bool = True) -> DataFrame:
+    """(doc_id, item_id, n_shingles, n_found, containment, item_copies) of every document and item with containment >= threshold."""
+    prepare(docs.sparkSession)
     light = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).alias("text"))
-    out = docs.sparkSession.createDataFrame([], SCHEMA)
-    for items in blocks_of(benchmark, item_column, item_text_column, block_bytes):
-        shared = _searching(docs, Index(items, width, threshold))
-
-        def run(batches, shared=shared):
-            index = shared.value
-            for batch in batches:
-                texts = encoded(batch.column(1))
-                ids = batch.column(0).to_pylist()
-                for a, b in slices(texts):
-                    got = [(ids[a + d], index.ids[i], n, k, k / n) for d, i, n, k in index.search(texts[a:b])]
-                    if got:
-                        columns = list(zip(*got))
-                        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64())
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["doc_id", "item_id", "n_shingles", "n_found", "containment"])
-
-        out = out.unionByName(light.mapInArrow(run, SCHEMA))
+    spread = docs.sparkSession.sparkContext.broadcast
+    indexes = lambda: _indexes(benchmark, width, threshold, item_column, item_text_column, block_bytes)
+    first = list(islice(indexes(), 2))
+    if len(first) < 2:
+        return _found(light, spread(first[0]), expand) if first else docs.sparkSession.createDataFrame([], SCHEMA)
+    suspects, out = _suspects(light, "text", indexes())[0], None
+    for index in indexes():
+        shared = spread(index)
+        part = cut(_found(suspects, shared, expand))
+        shared.destroy()
+        out = part if out is None else out.unionByName(part)
     return out
 
 
+def _suspects(docs: DataFrame, text_column: str, indexes: Iterator[Index]) -> tuple[DataFrame, DataFrame]:
+    """The documents that hit the sketch of some item, written once, and all others."""
+    sieve = Sieve()
+    for index in indexes:
+        sieve.add(index)
+    shared = docs.sparkSession.sparkContext.broadcast(sieve)
+    return cut(_keep(docs, text_column, (shared, Sieve.hits))), _keep(docs, text_column, (shared, lambda s, texts: ~s.hits(texts)))
+
+
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, threshold: float = 0.8, block_bytes: int = 8 << 20) -> DataFrame:
     """The documents, with their columns, that contain no benchmark item."""
-    at = docs.columns.index("text")
-    for items in blocks_of(benchmark, "item_id", "text", block_bytes):
-        shared = _searching(docs, Index(items, width, threshold))
-
-        def run(batches, shared=shared):
-            for batch in batches:
-                texts = encoded(batch.column(at))
-                for a, b in slices(texts):
-                    clean = np.ones(b - a, bool)
-                    clean[[d for d, *_ in shared.value.search(texts[a:b])]] = False
-                    yield batch.slice(a, b - a).filter(pa.array(clean))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    prepare(docs.sparkSession)
+    spread = docs.sparkSession.sparkContext.broadcast
+    indexes = lambda: _indexes(benchmark, width, threshold, "item_id", "text", block_bytes)
+    first = list(islice(indexes(), 2))
+    if len(first) < 2:
+        return _keep(docs, "text", (spread(first[0]), _clean)) if first else docs
+    left, others = _suspects(docs, "text", indexes())
+    for index in indexes():
+        shared = spread(index)
+        after = cut(_keep(left, "text", (shared, _clean)))
+        shared.destroy()
+        release(left)
+        left = after
+    return others.unionByName(left)
+
+
+def item_classes(benchmark: DataFrame, item_column: str = "item_id", text_column: str = "text") -> DataFrame:
+    """(item_id, class_id): items of equal words and the smallest item_id among them; items without words are left out."""
+
+    def run(batches):
+        for batch in batches:
+            words = [b" ".join(words_of(t)) for t in encoded(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.binary())], ["item_id", "words"])
+
+    prepare(benchmark.sparkSession)
+    rows = benchmark.select(F.col(item_column).cast("bigint").alias("item_id"), F.col(text_column).alias("text")).mapInArrow(run, "item_id bigint, words binary").where("length(words) > 0")
+    keyed = cut(rows.select("item_id", F.sha2("words", 256).alias("words")))
+    return keyed.join(keyed.groupBy("words").agg(F.min("item_id").alias("class_id")), "words").select("item_id", "class_id")

@@ -9,9 +9,10 @@ MAX_ATOMS atoms with a type; it is scored as a whole, by its shape, digit
 count, checksum, octets, separators, quotes and the words around it. Dynamic
 programming over (atom, type of the last segment) chooses boundaries and types
 together; an atom outside entities is a segment of type `out`. A segment of an
-entity type must hold a digit or an @, so the recursion splits exactly into
+entity type holds a digit or an @ and seven characters at least, and begins and
+ends at a letter, a digit or a bracket, so the recursion splits exactly into
 regions around such atoms and the rest of the text costs nothing. Regions of
-any length are walked whole.
+any length are walked whole; the work grows with their length alone.
 
 Weights are learned by maximum likelihood (forward-backward over segments) on
 sentences that a seeded generator writes: entities in many notations, and
@@ -20,7 +21,9 @@ The added kinds are email, ip, card and phone in notations that the base
 misses, and `secret` (keys and tokens).
 
 Added spans never overlap base spans. Cases: null and empty texts have no
-spans. Repeated rows get equal results. Extra columns are ignored. Offsets
+spans. Texts of any length, with or without spaces, are read whole. Of equally
+good segmentations the first found stays: `out` before entities, types in the
+order of TYPES. An empty table gives no rows. Repeated rows get equal results. Extra columns are ignored. Offsets
 count code points.
 """
 
@@ -216,8 +219,6 @@ class Model:
                     value[j + 1][0], back[j + 1][0] = v + self.change[k][0], (j, k)
             for i, features in region.candidates[j]:
                 s = self.scores(features)
-                if max(s[1:]) < -6:
-                    continue
                 for t in range(1, kinds):
                     for k in range(kinds):
                         v = value[i][k] + self.change[k][t] + s[t]

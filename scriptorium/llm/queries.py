@@ -59,8 +59,8 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per document and benchmark item that it contains to 0.8 or more."""
-    return decontamination.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    """One row per document and distinct benchmark item that it contains to 0.8 or more."""
+    return decontamination.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), expand=False)
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,12 +58,20 @@ _written: dict[str, SparkSession] = {}
 
 
 def release(*cuts: DataFrame) -> None:
-    """Delete these cuts. Nothing that is still to be computed may read them."""
+    """Delete these cuts. Nothing that is still to be computed may read them.
+
+    The shuffle files of the plans that wrote them go as well: Spark drops
+    those of plans that the driver's collector has found unreachable, which it
+    otherwise looks for twice an hour.
+    """
+    spark = None
     for df in cuts:
         path = getattr(df, "_scriptorium_cut", None)
-        spark = _written.pop(path, None)
-        if spark is not None:
+        spark = _written.pop(path, None) or spark
+        if spark is not None and path is not None:
             remove(spark, path)
+    if spark is not None:
+        spark.sparkContext._jvm.System.gc()
 
 
 def remove(spark: SparkSession, path: str) -> None:
