@@ -60,8 +60,9 @@ class Engine:
         page, info = search.page(snap.postings, snap.chunks, search.Query(query, **options))
         info["generation"] = snap.generation
         if check_stale:
-            live = tree.listing(self.spark, snap.root).join(F.broadcast(page.select("path").distinct()), "path").select("path", "size", F.sha2("content", 256).alias("hash"))
             # At most 100 rows; brought here so that the answer is what was checked, once.
+            page = self.spark.createDataFrame(page.collect(), page.schema)
+            live = tree.some(self.spark, snap.root, [r["path"] for r in page.select("path").collect()]).select("path", "size", F.sha2("content", 256).alias("hash"))
             marked = diff.mark_stale(page, snap.manifest, live).orderBy(F.desc("score"), F.asc("chunk_id"))
             rows = marked.collect()
             page = self.spark.createDataFrame(rows, marked.schema)
@@ -71,7 +72,7 @@ class Engine:
     def read_lines(self, path: str, start: int = 1, count: int = 200) -> DataFrame:
         """M2: from the live file."""
         snap = self.index.snapshot()
-        files = tree.listing(self.spark, snap.root).where(F.col("path") == paths.clean(path)).select("path", F.col("content").cast("string").alias("content"))
+        files = tree.some(self.spark, snap.root, [paths.clean(path)]).select("path", F.col("content").cast("string").alias("content"))
         return chunks.read_lines(files, start, count)
 
     def list_files(self, **options) -> DataFrame:

@@ -64,6 +64,7 @@ class Snapshot:
         if info.get("version") != VERSION:
             raise ValueError(f"index format {info.get('version')} is not {VERSION}; rebuild the index")
         self.generation, self.root, self.selection = info["generation"], info["root"], info["selection"]
+        self.earlier = info.get("earlier", [])
         at = f"{storage.root}/{self.generation}"
         self.manifest, self.chunks, self.postings = (spark.read.parquet(f"{at}/{n}") for n in ("manifest", "chunks", "postings"))
 
@@ -120,11 +121,15 @@ class Index:
             listed.write.parquet(f"{at}/manifest")
         finally:
             states.unpersist()
-        self.storage.replace("CURRENT", json.dumps({"version": VERSION, "generation": generation, "root": root, "selection": selection}))
-        stale = sorted((g for g in self.storage.list() if g.startswith("gen-") and g != generation))
-        # The previous generation stays for readers that hold it.
-        for g in stale:
-            if old is None or g != old.generation:
+        now = self.current()
+        if (now.generation if now else None) != (old.generation if old else None):
+            self.storage.drop(generation)
+            raise RuntimeError("another build was published meanwhile; build again")
+        earlier = ([old.generation, *old.earlier] if old else [])[: self.keep - 1]
+        self.storage.replace("CURRENT", json.dumps({"version": VERSION, "generation": generation, "root": root, "selection": selection, "earlier": earlier}))
+        # The last `keep` generations stay for readers that hold them.
+        for g in self.storage.list():
+            if g.startswith("gen-") and g not in (generation, *earlier):
                 self.storage.drop(g)
         return {**report, "generation": generation, "published": True}
 
@@ -132,8 +137,7 @@ class Index:
         """Status, and the changed paths by state."""
         snap = self.snapshot()
         files = tree.scan(self.spark, snap.root, tuple(snap.selection["extensions"]), tuple(snap.selection["directories"]))
-        on_disk = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(snap.root).select("path")
-        base = F.regexp_replace(F.lit(snap.root.rstrip("/")), r"^[a-z]+:/*", "/")
-        there = on_disk.select(F.substring(F.regexp_replace("path", r"^[a-z]+:/*", "/"), F.length(base) + 2, F.lit(1 << 20)).alias("path"))
+        # Paths only: no content is read. A file that is now ignored or empty is still there.
+        there = tree.listing(self.spark, snap.root, 1 << 62).select("path")
         changes = diff.freshness(files.select("path", "hash"), snap.manifest, there)
         return diff.freshness_status(changes), changes

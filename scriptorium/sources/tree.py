@@ -54,6 +54,31 @@ def listing(spark: SparkSession, root: str, max_bytes: int = MAX_FILE_BYTES) ->
     return shown.unionByName(spark.createDataFrame(_passed_over(spark, root, max_bytes), "path string, size bigint, content binary"))
 
 
+def some(spark: SparkSession, root: str, names: list[str], max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+    """As listing, for the named files alone: nothing else of the tree is listed or read. Names that are no files are left out."""
+    jvm = spark.sparkContext._jvm
+    base = root.rstrip("/")
+    fs = jvm.org.apache.hadoop.fs.Path(base).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    plain, odd = [], []
+    for n in sorted(set(names)):
+        at = jvm.org.apache.hadoop.fs.Path(f"{base}/{n}")
+        if not fs.exists(at) or not fs.getFileStatus(at).isFile() or fs.getFileStatus(at).getLen() > max_bytes:
+            continue
+        if fs.getFileStatus(at).getLen() and not at.getName().startswith((".", "_")):
+            plain.append(f"{base}/{n}")
+            continue
+        stream = fs.open(at)
+        odd.append((n, fs.getFileStatus(at).getLen(), bytearray(jvm.org.apache.commons.io.IOUtils.toByteArray(stream))))
+        stream.close()
+    out = spark.createDataFrame(odd, "path string, size bigint, content binary")
+    if not plain:
+        return out
+    raw = spark.read.format("binaryFile").load(plain)
+    length = F.length(F.regexp_replace(F.lit(base), r"^[a-z]+:/*", "/"))
+    shown = F.substring(F.regexp_replace("path", r"^[a-z]+:/*", "/"), length + 2, F.lit(1 << 20))
+    return out.unionByName(raw.select(shown.alias("path"), F.col("length").alias("size"), "content"))
+
+
 def wanted(path: str = "path", extra_extensions: tuple[str, ...] = (), extra_directories: tuple[str, ...] = ()):
     """Allowed by extension or name, not a lock file unless its extension is asked for, and in no excluded directory (by name or path)."""
     p = F.col(path)

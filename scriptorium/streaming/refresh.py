@@ -9,8 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from scriptorium.operators import diff
-
 
 def refresh(stream: DataFrame, checkpoint: str, build: Callable[[], object], once: bool = True, every: str = "10 seconds") -> StreamingQuery:
     """Run `build` for each batch of arrivals; batches are at least `every` apart, and arrivals in between are one batch.
@@ -27,16 +25,19 @@ def refresh(stream: DataFrame, checkpoint: str, build: Callable[[], object], onc
 
 
 def upsert(stream: DataFrame, checkpoint: str, target: str, once: bool = True) -> StreamingQuery:
-    """Keep at `target` the last hash of each path; each version is a directory of its own, named by its batch."""
+    """Keep at `target` the hash of the highest version of each path, whichever batch it came in; ties go to the greater hash.
+
+    Each batch writes a directory of its own, named by its number; the one before the last is removed.
+    """
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        latest = batch.groupBy("path").agg(F.max_by("hash", "version").alias("hash"))
+        rows = batch.select("path", "version", "hash")
         if number:
-            old = spark.read.parquet(f"{target}/{number - 1}")
-            states = diff.build_diff(latest, old).where("state = 'deleted'").select("path")
-            latest = latest.unionByName(old.join(states, "path", "left_semi"))
-        latest.write.mode("overwrite").parquet(f"{target}/{number}")
+            rows = rows.unionByName(spark.read.parquet(f"{target}/{number - 1}").select("path", "version", "hash"))
+        rows.groupBy("path").agg(F.max(F.struct("version", "hash")).alias("last")).select("path", "last.hash", "last.version").write.mode("overwrite").parquet(f"{target}/{number}")
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{target}/{number - 2}")
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
     writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(run)
     return writer.trigger(availableNow=True).start() if once else writer.trigger(processingTime="10 seconds").start()
