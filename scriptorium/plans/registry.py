@@ -61,7 +61,7 @@ def chunk_numbering(spark, sf_dir):
 
 @query()
 def chunk_files(spark, sf_dir):
-    """P3 to P5 in full: sections, line and byte limits. Sequential, so without SQL; tests/test_chunks.py checks it against its rules."""
+    """P3 to P5 in full: sections, line and byte limits. Sequential, so without SQL; tests/test_parts.py checks it against its rules."""
     return chunks.chunk_files(corpus(spark, sf_dir)).select("path", "chunk_no", "chunk_id", "title", "start_line", "end_line", F.sha2("content", 256).alias("hash"))
 
 
@@ -424,7 +424,7 @@ def unmapped_paths(spark, sf_dir):
 
 @query()
 def context_assembly(spark, sf_dir):
-    """A request for every fifty documents, about the candidates that a catalog allows; sequential, so without SQL (tests/test_context.py checks its invariants)."""
+    """A request for every fifty documents, about the candidates that a catalog allows; sequential, so without SQL (tests/test_parts.py checks its invariants)."""
     c = corpus(spark, sf_dir)
     rows = c.select(F.floor(F.col("doc_id") / 50).cast("bigint").alias("request"), "path", (F.col("doc_id") % 5).cast("int").alias("priority"), F.lit(1).alias("start_line"), "content", F.array(F.col("doc_id").cast("string")).alias("evidence"))
     return context.assemble(context.candidates(rows)).select("request", "item", "path", "reason", "bytes", "next_start_line")
