@@ -60,9 +60,7 @@ _written: dict[str, SparkSession] = {}
 def release(*cuts: DataFrame) -> None:
     """Delete these cuts. Nothing that is still to be computed may read them.
 
-    The shuffle files of the plans that wrote them go as well: Spark drops
-    those of plans that the driver's collector has found unreachable, which it
-    otherwise looks for twice an hour.
+    The shuffle files of the plans that wrote them go as well, see `sweep`.
     """
     spark = None
     for df in cuts:
@@ -74,6 +72,15 @@ def release(*cuts: DataFrame) -> None:
         spark.sparkContext._jvm.System.gc()
 
 
+def sweep(df: DataFrame) -> None:
+    """Have Spark drop the shuffle files of finished plans.
+
+    It drops those of plans that the driver's collector has found unreachable,
+    which it otherwise looks for twice an hour.
+    """
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder of the shared file system."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
