@@ -23,3 +23,30 @@ judged AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base
  CASE WHEN n_adjacent / least_one > 0.3 THEN 'adjacent_repeats' END, CASE WHEN (n_stop + 1) / least_one < 0.005 THEN 'stop_words' END) AS failed FROM rules)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND failed = '' AS kept, failed FROM judged
 """
+
+#: The checksum of the polynomial 0xEDB88320 over the bytes of a string, from a table made by its rule.
+SPELLING = r"""
+WITH RECURSIVE steps AS (SELECT i, 0 AS k, CAST(i AS BIGINT) AS c FROM range(256) r(i) UNION ALL SELECT i, k + 1, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM steps WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM steps WHERE k = 8),
+runs AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')) AS run FROM documents) WHERE length(run) >= 7),
+bytes AS (SELECT *, hex(encode(id || ':' || run)) AS b FROM runs),
+digests AS (SELECT run, xor(list_reduce(list_transform(range(0, length(b) // 2), lambda i: CAST('0x' || substr(b, 2 * i + 1, 2) AS BIGINT)), lambda c, x: xor(c >> 8, crc.t[CAST(xor(c & 255, x) AS INT) + 1]), 4294967295), 4294967295) AS h FROM bytes, crc),
+made AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, CAST(h % length(run) AS INT)) || substr(run, CAST(h % length(run) AS INT) + 2) ELSE run END AS word FROM digests),
+words AS (SELECT word, count(*) AS n FROM made WHERE length(word) >= 7 GROUP BY word HAVING count(*) >= 2),
+spots AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (SELECT a.word, b.word AS other, b.n AS other_n FROM spots a JOIN spots b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+ UNION SELECT a.word, b.word, b.n FROM spots a JOIN words b ON a.rest = b.word UNION SELECT b.word, a.word, a.n FROM spots a JOIN words b ON a.rest = b.word),
+best AS (SELECT word, count(*) AS n_near, max(other_n) AS form_n FROM near GROUP BY word),
+forms AS (SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.form_n >= 10 * w.n THEN b.form_n END AS form_n, CASE WHEN b.form_n >= 10 * w.n THEN (SELECT min(other) FROM near x WHERE x.word = w.word AND x.other_n = b.form_n) END AS form FROM words w LEFT JOIN best b ON w.word = b.word),
+chain AS (SELECT word, word AS root FROM forms UNION ALL SELECT c.word, f.form FROM chain c JOIN forms f ON f.word = c.root WHERE f.form IS NOT NULL)
+SELECT f.word, f.n, CAST(f.n_near AS BIGINT) AS n_near, f.form, f.form_n, c.root FROM forms f JOIN (SELECT c.word, c.root FROM chain c JOIN forms e ON e.word = c.root WHERE e.form IS NULL) c ON c.word = f.word
+"""
+
+FEATURE_JOIN = """
+WITH parts AS (SELECT *, sha256(CAST(doc_id AS VARCHAR)) AS h FROM documents),
+versions AS (SELECT source, doc_id, n_chars, lang, CAST('0x' || h[1:8] AS BIGINT) % 200000 AS event, CAST('0x' || h[9:16] AS BIGINT) % 1200 - 60 AS late, CAST('0x' || h[17:24] AS BIGINT) % 900 AS kept FROM parts),
+asks AS (SELECT row_number() OVER () AS ask, l.doc_id, CAST('0x' || sha256(CAST(l.doc_id AS VARCHAR))[25:32] AS BIGINT) % 200000 AS t, d.source FROM labels l LEFT JOIN (SELECT doc_id, min(source) AS source FROM documents GROUP BY doc_id) d ON d.doc_id = l.doc_id),
+won AS (SELECT ask, max({'event': event, 'arrival': event + late, 'doc_id': v.doc_id, 'n_chars': n_chars, 'lang': lang}) AS v FROM asks a JOIN versions v ON v.source = a.source AND event <= t AND event + late <= t AND t < event + kept GROUP BY ask),
+judged AS (SELECT a.doc_id, t, v.doc_id AS version_id, t - v.event AS age, CASE WHEN v IS NULL THEN 'none' WHEN t - v.event > 20 THEN 'stale' ELSE 'fresh' END AS status, v FROM asks a LEFT JOIN won w ON a.ask = w.ask)
+SELECT doc_id, t, version_id, age, status, CASE WHEN status = 'fresh' THEN v.n_chars END AS n_chars, CASE WHEN status = 'fresh' THEN v.lang END AS lang FROM judged
+"""

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, line_dedup, personal_data, piece_codec, quality_model, quality_rules, sharding, simhash, toxicity
-from .oracle import QUALITY_RULES
+from . import decontamination, feature_join, language_id, line_dedup, personal_data, piece_codec, quality_model, quality_rules, sharding, simhash, spelling, toxicity
+from .oracle import FEATURE_JOIN, QUALITY_RULES, SPELLING
 from .runtime import fold, table
 
 
@@ -77,6 +77,27 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.when(F.col("text") == "", 0).otherwise(lines).alias("n_lines"), F.sha2("text", 256).alias("text_sha256"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of seven code points and two occurrences or more, their near words, forms and roots."""
+    return spelling.group(spelling.count_words(table(spark, sf_dir, "documents")), factor=10)
+
+
+def op12_feature_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per label: the version of its document's source that holds at its time. A repeated doc_id has the smallest of its sources."""
+    part = lambda c, k: F.conv(F.substring(F.sha2(F.col(c).cast("string"), 256), 8 * k + 1, 8), 16, 10).cast("long")
+    docs = table(spark, sf_dir, "documents")
+    event = docs.select("source", "doc_id", "n_chars", "lang", (part("doc_id", 0) % 200000).alias("event"), part("doc_id", 1).alias("b"), part("doc_id", 2).alias("c"))
+    versions = event.select("*", (F.col("event") - 60 + F.col("b") % 1200).alias("arrival"), (F.col("event") + F.col("c") % 900).alias("expiry"))
+    versions = versions.select(F.col("source").alias("about"), "event", "arrival", "expiry", F.greatest("event", "arrival").alias("usable"), F.col("doc_id").alias("version_id"), F.col("n_chars").alias("version_chars"), F.col("lang").alias("version_lang"))
+    of = docs.groupBy("doc_id").agg(F.min("source").alias("about"))
+    asks = table(spark, sf_dir, "labels").select("doc_id", (part("doc_id", 3) % 200000).alias("t")).join(of.hint("merge"), "doc_id", "left")
+    found = feature_join.point_in_time(asks, versions, "about", "t", "usable", "expiry", ["event", "arrival", "version_id"], ["version_id", "event", "version_chars", "version_lang"])
+    age = F.col("t") - F.col("event")
+    status = F.when(F.col("version_id").isNull(), "none").when(age > 20, "stale").otherwise("fresh")
+    fresh = status == "fresh"
+    return found.select("doc_id", "t", "version_id", age.alias("age"), status.alias("status"), F.when(fresh, F.col("version_chars")).alias("n_chars"), F.when(fresh, F.col("version_lang")).alias("lang"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_personal_data": op1_personal_data,
     "op2_sharding": op2_sharding,
@@ -88,6 +109,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_line_dedup": op10_line_dedup,
+    "op11_spelling": op11_spelling,
+    "op12_feature_join": op12_feature_join,
 }
 
-ORACLE_SQL: dict[str, str] = {"op7_quality_rules": QUALITY_RULES}
+ORACLE_SQL: dict[str, str] = {"op7_quality_rules": QUALITY_RULES, "op11_spelling": SPELLING, "op12_feature_join": FEATURE_JOIN}
