@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, feature_join, language_id, line_dedup, personal_data, piece_codec, quality_model, quality_rules, sharding, simhash, spelling, toxicity
+from . import decontamination, feature_join, language_id, line_dedup, page_text, personal_data, piece_codec, quality_model, quality_rules, sharding, simhash, spelling, toxicity
 from .oracle import FEATURE_JOIN, QUALITY_RULES, SPELLING
 from .runtime import fold, table
 
@@ -98,6 +98,11 @@ def op12_feature_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "t", "version_id", age.alias("age"), status.alias("status"), F.when(fresh, F.col("version_chars")).alias("n_chars"), F.when(fresh, F.col("version_lang")).alias("lang"))
 
 
+def op13_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return page_text.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_personal_data": op1_personal_data,
     "op2_sharding": op2_sharding,
@@ -111,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_line_dedup": op10_line_dedup,
     "op11_spelling": op11_spelling,
     "op12_feature_join": op12_feature_join,
+    "op13_page_text": op13_page_text,
 }
 
 ORACLE_SQL: dict[str, str] = {"op7_quality_rules": QUALITY_RULES, "op11_spelling": SPELLING, "op12_feature_join": FEATURE_JOIN}
