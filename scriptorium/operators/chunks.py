@@ -21,15 +21,20 @@ def lines(files: DataFrame) -> DataFrame:
     return files.select("path", F.posexplode(text.source_lines("content")).alias("at", "line")).select("path", (F.col("at") + 1).alias("line_no"), "line")
 
 
+def windows(content: Column | str, size: int = MAX_LINES) -> Column:
+    """array<struct(lines, start_line, end_line)>: a text's lines by `size`, cut out of the line array, without a shuffle."""
+    every = text.source_lines(content)
+    n = F.size(every)
+    starts = F.when(n > 0, F.sequence(F.lit(0), F.floor((n - 1) / size).cast("int"))).otherwise(F.array().cast("array<int>"))
+    piece = lambda w: F.struct(F.slice(every, w * size + 1, size).alias("lines"), (w * size + 1).alias("start_line"), F.least((w + 1) * size, n).alias("end_line"))
+    return F.transform(starts, piece)
+
+
 def line_windows(files: DataFrame, size: int = MAX_LINES) -> DataFrame:
     """P3's line rule alone, W1: windows of `size` lines; blank windows are dropped and do not count in the ordinal."""
-    window = F.col("line_no") - 1
-    spans = lines(files).groupBy("path", F.floor(window / size).cast("int").alias("window")).agg(
-        F.min("line_no").alias("start_line"), F.max("line_no").alias("end_line"), F.max(F.trim(F.regexp_replace("line", r"\s+", " ")) != "").alias("some"),
-    )
-    order = Window.partitionBy("path").orderBy("start_line")
-    kept = spans.where("some").withColumn("chunk_no", (F.row_number().over(order) - 1).cast("int"))
-    return kept.select("path", "chunk_no", F.concat_ws("#", "path", F.col("chunk_no").cast("string")).alias("chunk_id"), "start_line", "end_line")
+    some = F.filter(windows("content", size), lambda w: F.exists(w["lines"], lambda x: x.rlike(r"\S")))
+    kept = files.select("path", F.posexplode(some).alias("chunk_no", "w"))
+    return kept.select("path", "chunk_no", F.concat_ws("#", "path", F.col("chunk_no").cast("string")).alias("chunk_id"), "w.start_line", "w.end_line")
 
 
 def read_lines(files: DataFrame, start: int = 1, count: int = 200, max_bytes: int = 64 * 1024) -> DataFrame:

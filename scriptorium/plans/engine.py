@@ -57,7 +57,7 @@ class Engine:
     def search(self, query: str, check_stale: bool = True, **options) -> tuple[DataFrame, dict]:
         """The page, with `stale` for each hit, and its totals; info["refresh"] asks for a refresh if a hit is stale."""
         snap = self.index.snapshot()
-        page, info = search.page(snap.postings, snap.chunks, search.Query(query, **options))
+        page, info = search.page(snap.postings, snap.chunks, search.Query(query, **options), snap.lengths)
         info["generation"] = snap.generation
         if check_stale:
             # At most 100 rows; brought here so that the answer is what was checked, once.
@@ -69,6 +69,11 @@ class Engine:
             info["refresh"] = any(r["stale"] for r in rows)
         return page, info
 
+    def best(self, query: str, **options) -> DataFrame:
+        """(chunk_id, score, relaxed) of the page alone, over the posting blocks that can hold it."""
+        snap = self.index.snapshot()
+        return search.top(snap.postings, snap.blocks, snap.chunks, snap.lengths, search.Query(query, **options))
+
     def read_lines(self, path: str, start: int = 1, count: int = 200) -> DataFrame:
         """M2: from the live file."""
         snap = self.index.snapshot()

@@ -185,11 +185,9 @@ def adf_to_markdown(spark, sf_dir):
 
 def _chunked(spark, sf_dir) -> DataFrame:
     """Chunks by the line rule, with the search fields; the title is the file's first line."""
-    c = corpus(spark, sf_dir)
-    parts = chunks.lines(c).join(c.select("path", "kind", "language", F.substring_index("content", "\n", 1).alias("title")), "path")
-    made = parts.groupBy("path", "kind", "language", "title", F.floor((F.col("line_no") - 1) / 80).cast("int").alias("chunk_no")).agg(
-        F.min("line_no").alias("start_line"), F.max("line_no").alias("end_line"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("content"),
-    )
+    c = corpus(spark, sf_dir).withColumn("title", F.substring_index("content", "\n", 1))
+    made = c.select("path", "kind", "language", "title", F.posexplode(chunks.windows("content")).alias("chunk_no", "w"))
+    made = made.select("path", "kind", "language", "title", "chunk_no", F.array_join("w.lines", "\n").alias("content"), "w.start_line", "w.end_line")
     docs = F.col("kind") == text.DOCUMENTATION
     base = F.element_at(F.split("path", "/"), -1)
     return made.select(
@@ -199,9 +197,7 @@ def _chunked(spark, sf_dir) -> DataFrame:
 
 
 def _search(spark, sf_dir, q: search.Query):
-    held = _chunked(spark, sf_dir)
-    found, is_relaxed = search.matches(search.postings(held), held, q)
-    return search.ranked(found, q).select("chunk_id", "score", F.lit(is_relaxed).alias("relaxed"))
+    return search.search_chunks(_chunked(spark, sf_dir), q)
 
 
 _POSTINGS = r"""chunked AS (SELECT l.path, l.kind, c.language, c.title, l.path || '#' || CAST((line_no - 1) // 80 AS VARCHAR) AS chunk_id, string_agg(line, chr(10) ORDER BY line_no) AS content
@@ -212,16 +208,21 @@ _POSTINGS = r"""chunked AS (SELECT l.path, l.kind, c.language, c.title, l.path |
  postings AS (SELECT chunk_id, path, kind, language, field, boost, term, count(*) AS tf FROM terms WHERE field NOT IN ('prose', 'title') OR term NOT IN (""" + stop_list() + r""") GROUP BY ALL)"""
 
 
+_WEIGHED = """sizes AS (SELECT chunk_id, field, sum(tf) AS len FROM postings GROUP BY ALL), means AS (SELECT field, count(*) AS n, avg(len) AS mean FROM sizes GROUP BY field),
+ dfs AS (SELECT field, term, count(*) AS df FROM postings GROUP BY ALL),
+ weighed AS (SELECT p.*, boost * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean)) AS s FROM postings p JOIN sizes USING (chunk_id, field) JOIN means USING (field) JOIN dfs USING (field, term))"""
+
+
 def _search_sql(words: list[str], terms: list[str], symbol: str, relaxed: bool, where: str = "true", limit: int = 10, offset: int = 0) -> str:
     quoted = lambda ws: ", ".join(f"'{w}'" for w in ws)
     if relaxed:
-        body = f"SELECT chunk_id, round(sum(boost * ln(1.0 + tf)), 6) AS score FROM postings WHERE {where} AND term IN ({quoted(terms)}) GROUP BY chunk_id HAVING count(DISTINCT term) >= {max(2, (len(terms) + 1) // 2)}"
+        body = f"SELECT chunk_id, round(sum(s), 6) AS score FROM weighed WHERE {where} AND term IN ({quoted(terms)}) GROUP BY chunk_id HAVING count(DISTINCT term) >= {max(2, (len(terms) + 1) // 2)}"
     else:
-        body = f"""SELECT chunk_id, round(sum(s), 6) AS score FROM (SELECT chunk_id, field, sum(boost * ln(1.0 + tf)) AS s FROM postings WHERE {where} AND term IN ({quoted(sorted({*words, *terms}))}) GROUP BY chunk_id, field
+        body = f"""SELECT chunk_id, round(sum(s), 6) AS score FROM (SELECT chunk_id, field, sum(s) AS s FROM weighed WHERE {where} AND term IN ({quoted(sorted({*words, *terms}))}) GROUP BY chunk_id, field
  HAVING count(DISTINCT term) = CASE WHEN field IN ('prose', 'title') THEN {len(terms)} ELSE {len(words)} END
  UNION ALL SELECT chunk_id, 'symbols', 20.0 FROM chunked WHERE {where} AND string_split(title, ' ')[1] = '{symbol}') GROUP BY chunk_id"""
     tail = f" ORDER BY score DESC, chunk_id LIMIT {limit} OFFSET {offset}"
-    return "WITH " + sql("", "corpus", "lines").removeprefix("WITH RECURSIVE ").strip() + ",\n" + _POSTINGS + f"\nSELECT chunk_id, score, {str(relaxed).lower()} AS relaxed FROM ({body})" + tail
+    return "WITH " + sql("", "corpus", "lines").removeprefix("WITH RECURSIVE ").strip() + ",\n" + _POSTINGS + ",\n" + _WEIGHED + f"\nSELECT chunk_id, score, {str(relaxed).lower()} AS relaxed FROM ({body})" + tail
 
 
 @query(_search_sql(["inor"], ["inor"], "inor", False, limit=10))

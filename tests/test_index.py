@@ -140,3 +140,112 @@ def test_plans(spark, sf, tmp_path):
     assert "EqualTo(kind,code)" in plan and "StringStartsWith(path,src1)" in plan and "TakeOrderedAndProject" in plan
     assert "content" not in plan.split("ReadSchema")[-1].split("\n")[0]
     assert F is not None
+
+
+def _full(spark, root, at):
+    index = Index(spark, str(at))
+    index.build(str(root))
+    return index.snapshot()
+
+
+def _hits(snap, query, **options):
+    q = search.Query(query, **options)
+    page, info = search.page(snap.postings, snap.chunks, q, snap.lengths)
+    rows = [(r.chunk_id, r.score) for r in page.collect()]
+    best = [(r.chunk_id, r.score) for r in search.top(snap.postings, snap.blocks, snap.chunks, snap.lengths, q).collect()]
+    assert best == rows
+    return rows, info
+
+
+def test_segments_equal_a_full_build(spark, project, tmp_path):
+    """K1, K2: one changed file writes one small segment; searches over segments equal those over a full build."""
+    index = Index(spark, str(tmp_path / "index"))
+    index.build(str(project))
+    edits = [
+        {"mentions.md": "The server now says HTTP twice: HTTP.\n"}, {"docs/more.md": "# More\n\nAn http server again.\n"}, {"server.go": GO.replace("8081", "8080")},
+        {"docs/more.md": "# Less\n"}, {"a/b.md": "server server server\n"},
+    ]
+    for k, files in enumerate(edits):
+        write(project, files)
+        if k == 3:
+            (project / "docs/adr.md").unlink()
+        before = {s["id"] for s in index.snapshot().segments}
+        report = index.build()
+        snap = index.snapshot()
+        new = [s for s in snap.segments if s["id"] not in before]
+        assert report["indexed"] == 1 and report["deleted"] == (k == 3) and len(new) == 1 and len(snap.segments) <= 4
+        assert new[0]["files"] == 1 or len(snap.segments) == 1, "only a merge writes more than the changed file"
+    full = _full(spark, project, tmp_path / "full")
+    columns = ["path", "hash", "size", "chunks", "lines", "kind", "language"]
+    assert sorted(snap.manifest.select(columns).collect()) == sorted(full.manifest.select(columns).collect())
+    held = [c for c in full.chunks.columns if c != "segment"]
+    assert sorted(map(repr, snap.chunks.select(held).collect())) == sorted(map(repr, full.chunks.select(held).collect()))
+    for query in ("HTTP server", "server", "NewHTTPServer", "http server qqq first", "nothing here"):
+        assert _hits(snap, query) == _hits(full, query)
+    assert len(index.storage.list("segments")) <= len({s["id"] for n in index.generations() for s in index.snapshot(generation=n).segments})
+
+
+def test_commits_and_leases(spark, project, tmp_path):
+    """Of two builders one wins; a leased commit outlives later builds, and goes with its lease."""
+    index, other = (Index(spark, str(tmp_path / "index"), keep=1) for _ in range(2))
+    index.build(str(project))
+    held = index.snapshot(hold=600)
+    with index.snapshot(hold=600) as short:
+        assert len(index.storage.list("leases")) == 2 and short.generation == 1
+    write(project, {"x.md": "one\n"})
+    # The other builder publishes while this one is between reading and committing.
+    commit = index._commit
+
+    def late(old, info):
+        other.build()
+        return commit(old, info)
+
+    index._commit = late
+    with pytest.raises(RuntimeError):
+        index.build()
+    index._commit = commit
+    assert index.build()["published"] is False, "the winner's build has the file"
+    named = {s["id"] for s in index.snapshot().segments}
+    assert set(index.storage.list("segments")) == named, "the loser's segment is gone, what the lease holds is still named"
+    for n in range(2):
+        (project / "x.md").write_text(f"{n}\n")
+        index.build()
+    assert held.manifest.count() == 9 and held.chunks.count() > 0, "two builds behind"
+    (project / "x.md").write_text("again\n")
+    index.build()
+    assert len(index.snapshot().segments) < 4 and index.generations() == [1, index.snapshot().generation]
+    assert held.chunks.count() > 0, "merged segments stay for the lease as well"
+    held.release()
+    index.vacuum()
+    assert set(index.storage.list("segments")) == {s["id"] for s in index.snapshot().segments} and index.storage.list("retired") == []
+    with pytest.raises(FileNotFoundError):
+        index.snapshot(generation=1)
+    expired = index.snapshot(hold=-1)
+    assert index._leased() == set() and expired.lease
+    assert index.storage.put_if_absent("commits/x", "a") and not index.storage.put_if_absent("commits/x", "b") and index.storage.read("commits/x") == "a"
+
+
+def test_rank(spark):
+    """Rare words weigh more than common ones, short fields more than long ones, names most; bounds lose nothing."""
+    import random
+
+    rng = random.Random(7)
+    rows = []
+    for i in range(600):
+        words = [rng.choice(["common", "plain", "server", "w"]) for _ in range(rng.randrange(1, 60))] + ["rare"] * (i % 97 == 0) + ["common"] * (i % 13)
+        rows.append((f"f{i}.go", "code", "go", rng.choice(["common title", "server", "t"]), ["common"] if i == 5 else [], rng.choice(["common", "", ""]), f"f{i}.go", "", " ".join(words), "", 1, 1, 0, f"f{i}.go#0"))
+    names = "path string, kind string, language string, title string, symbols array<string>, names string, filename string, content string, code string, prose string, start_line int, end_line int, chunk_no int, chunk_id string"
+    chunks = spark.createDataFrame(rows, names)
+    held = search.blocked(search.postings(chunks)).cache()
+    stored, sizes = search.blocks(held), search.lengths(chunks)
+    for q in (search.Query("common"), search.Query("rare common", limit=5), search.Query("server common", limit=7, offset=3), search.Query("rare zzzz", limit=4), search.Query("rare plain zzzz", limit=100), search.Query("common", "code", "go", "f1", 3)):
+        want = [tuple(r) for r in search.search_chunks(chunks, q).collect()]
+        assert [tuple(r) for r in search.top(held, stored, chunks, sizes, q).collect()] == want
+        found, total, relaxed = search.chosen(search.scored(held, chunks, search.plan(spark, q), search.weigh(held, sizes, search.plan(spark, q).asked)))
+        assert [(r.chunk_id, r.score, relaxed) for r in search.ranked(found, q).collect()] == want and (total > 0) == bool(want)
+    w = search.weigh(held, sizes, ["rare", "common"])
+    assert w == search.weigh_chunks(chunks, ["rare", "common"])
+    s = lambda term, tf, n: spark.range(1).select(F.lit("code").alias("field"), F.lit(term).alias("term")).select(w.of(F.lit(tf), F.lit(n))).first()[0]
+    assert s("rare", 1, 20) > 3 * s("common", 1, 20) and s("rare", 1, 5) > s("rare", 1, 50) and s("rare", 3, 20) < 3 * s("rare", 1, 20)
+    few = stored.where("term = 'common'").agg(F.sum("n"), F.count("*")).first()
+    assert few[1] > 20
