@@ -338,7 +338,7 @@ def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url
     """(page_id, url, text, n_chars) of every page."""
     prepare(pages.sparkSession)
     read = pages.select(F.col(id_column).cast("long").alias("page_id"), F.col(url_column).alias("url"), F.col(html_column).alias("html"))
-    parsed = cut(read.mapInArrow(_parsed, _PARSED))
+    parsed = cut(read.mapInArrow(_parsed, _PARSED), "zstd")
     low = cut(_low_branches(parsed))
     # Pages with the same containers are one template; what goes from it is found once.
     templates = parsed.where("template is not null").groupBy("host", "template").agg(F.first("loose").alias("loose"))

@@ -37,7 +37,7 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, compression: str = "lz4_raw") -> DataFrame:
     """Write df as a compressed table in the shared checkpoint folder and go on from there.
 
     Lost executors then repeat nothing that came before, and later plans know
@@ -47,7 +47,7 @@ def cut(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/scriptorium-cut-{uuid.uuid4().hex}"
-    df.write.option("compression", "lz4_raw").parquet(path)
+    df.write.option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _written[path] = spark
     out._scriptorium_cut = path
