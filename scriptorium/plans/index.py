@@ -50,6 +50,13 @@ class Storage:
         self.jvm = spark.sparkContext._jvm
         self._path = self.jvm.org.apache.hadoop.fs.Path
         self.fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.local = self.fs.getScheme() == "file"
+        if self.local:
+            # Without checksum files beside each file, which go stale if anyone else writes it.
+            self.fs = self.fs.getRaw()
+
+    def _local(self, path):
+        return self.jvm.java.io.File(self.fs.makeQualified(path).toUri().getPath()).toPath()
 
     def _at(self, name: str):
         return self._path(f"{self.root}/{name}")
@@ -74,31 +81,39 @@ class Storage:
         out.close()
         return mid
 
-    def put_if_absent(self, name: str, content: str) -> bool:
-        """Whether this call made the file; it appears whole, and once."""
-        mid = self._beside(name, content)
+    def put_moved(self, mid, to) -> bool:
+        """Whether the file `mid` took the free name `to`; it is gone from its own name in either case."""
         try:
-            if self.fs.getScheme() != "file":
-                return self.fs.rename(self._at(mid), self._at(name))
+            if not self.local:
+                return not self.fs.exists(to) and self.fs.rename(mid, to)
             # A local rename replaces; a hard link does not.
-            local = lambda n: self.jvm.java.io.File(self.fs.makeQualified(self._at(n)).toUri().getPath()).toPath()
             try:
-                self.jvm.java.nio.file.Files.createLink(local(name), local(mid))
+                self.jvm.java.nio.file.Files.createLink(self._local(to), self._local(mid))
             except Exception as e:
                 if "FileAlreadyExistsException" in str(e):
                     return False
                 raise
             return True
         finally:
-            self.drop(mid)
+            self.fs.delete(mid, True)
+
+    def put_if_absent(self, name: str, content: str) -> bool:
+        """Whether this call made the file; it appears whole, and once."""
+        return self.put_moved(self._at(self._beside(name, content)), self._at(name))
 
     def replace(self, name: str, content: str) -> None:
         """Write beside, then rename over."""
-        mid = self._beside(name, content)
-        options = self.spark.sparkContext._gateway.new_array(self.jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        options[0] = self.jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        to = self.fs.makeQualified(self._at(name))
-        self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(to.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration()).rename(self.fs.makeQualified(self._at(mid)), to, options)
+        mid, to = self._at(self._beside(name, content)), self._at(name)
+        gateway, jvm = self.spark.sparkContext._gateway, self.jvm
+        if self.local:
+            options = gateway.new_array(jvm.java.nio.file.CopyOption, 1)
+            options[0] = jvm.java.nio.file.StandardCopyOption.ATOMIC_MOVE
+            jvm.java.nio.file.Files.move(self._local(mid), self._local(to), options)
+            return
+        options = gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        to = self.fs.makeQualified(to)
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(to.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration()).rename(self.fs.makeQualified(mid), to, options)
 
     def move(self, name: str, to: str) -> bool:
         self.fs.mkdirs(self._at(to).getParent())

@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 ENTRY = """version int, id string, title string, status string, tags array<string>, created_at timestamp, updated_at timestamp, expires_at timestamp,
  runtime string, session string, refs struct<branch:string,commit:string,pr:string,issue:string>"""
+ENTRY_FIELDS = [
+    "version: int", "id: string", "title: string", "status: string", "tags: array<string>", "created_at: timestamp", "updated_at: timestamp", "expires_at: timestamp", "runtime: string", "session: string",
+    "refs: struct<branch:string,commit:string,pr:string,issue:string>",
+]
 EVENT = "at timestamp, event string, runtime string, session string, summary string"
 STANDARD = ("journal", "index", "backups", "cache", "tmp")
 
@@ -25,9 +29,20 @@ def entries(spark: SparkSession, root: str) -> DataFrame:
 
 
 def events(spark: SparkSession, root: str) -> DataFrame:
-    """All events; blank and unparsable lines are skipped."""
-    raw = spark.read.schema(EVENT).option("mode", "DROPMALFORMED").json(f"{root}/*/log.jsonl")
-    return raw.withColumn("id", F.element_at(F.split(F.input_file_name(), "/"), -2)).where("at is not null")
+    """All events, of logs that are files of lines and of those that are folders; blank and unparsable lines are skipped."""
+    raw = spark.read.schema(EVENT).option("mode", "DROPMALFORMED").json(f"{root}/*/log*")
+    return raw.withColumn("id", F.regexp_extract(F.input_file_name(), r"([^/]+)/log(?:\.jsonl)?(?:/[^/]+)?$", 1)).where("at is not null")
+
+
+def folded(spark: SparkSession, root: str) -> DataFrame:
+    """Each entry's record after the last change of its log, with the number of changes; entries without such a log as recorded."""
+    logs = spark.read.schema(f"version int, entry struct<{', '.join(ENTRY_FIELDS)}>").option("recursiveFileLookup", "true").option("pathGlobFilter", "[0-9]*.json").json(root)
+    own = F.input_file_name().rlike(r"/log/\d{8}\.json$") & F.col("entry").isNotNull()
+    last = logs.where(own).groupBy("entry.id").agg(F.max_by("entry", "version").alias("entry"), F.max("version").alias("log_version"))
+    names = [f.split(":")[0].split()[0] for f in ENTRY_FIELDS]
+    told = last.select(*[F.col(f"entry.{n}").alias(n) for n in names], "log_version")
+    only = entries(spark, root).where("problem is null").join(told.select("id"), "id", "left_anti")
+    return told.unionByName(only.select(*names, F.lit(0).alias("log_version")))
 
 
 def notes(spark: SparkSession, root: str) -> DataFrame:
