@@ -145,3 +145,27 @@ def test_windows_of_limits():
     got = list(windows_of(lines, 0, len(lines)))
     assert all(len(c.encode()) <= MAX_BYTES and b - a < 80 for a, b, c in got)
     assert "".join(c.replace("\n", "") for _, _, c in got) == "".join(lines)
+
+
+def test_templates(spark):
+    """Branches, loops, trim marks, places of every piece, and refused templates."""
+    import pytest
+    from pyspark.sql import functions as F
+
+    from scriptorium.functions.templates import Template, TemplateError, render
+
+    rows = [("Ann", ["b", " C "], 3, (True, None), "x"), ("", [], 0, (False, "n"), None)]
+    df = spark.createDataFrame(rows, "name string, tags array<string>, n int, at struct<ok: boolean, note: string>, raw string")
+    show = lambda *t: [r.rendered.content for r in render(df, *[(f"t{i}", x) for i, x in enumerate(t)]).collect()]
+    assert show("{{ .name }}|{{ .n }}|{{ .raw }}|{{ .at.ok }}|{{ .at.note }}") == ["Ann|3|x|true|<no value>", "|0|<no value>|false|n"]
+    assert show("{{ if .name }}a{{ else if .at.ok }}b{{ else }}c{{ end }}") == ["a", "c"]
+    assert show("{{ range .tags }}[{{ . | trim | lower }}]{{ else }}none{{ end }}", "{{ with .at }}{{ .note }}{{ end }}") == ["[b][c]<no value>", "nonen"]
+    assert show('a  {{- /* gone */ -}}  b {{ join .tags ", " | upper }} {{ len .tags }}{{ len "é" }}') == ["ab B,  C  22", "ab  02"]
+    assert show('{{ if and .name (eq .n 3) }}y{{ end }}{{ if or .raw (not .name) }}z{{ end }}{{ if ne .name "Ann" }}w{{ end }}') == ["yz", "zw"]
+    assert show("{{ `raw }} {{` }}") == ["raw }} {{"] * 2 and show("") == ["", ""] and show("plain") == ["plain"] * 2
+    got = render(df, ("head", "one\n{{ .name }}\n"), ("body", "{{ range .tags }}\n<{{ . }}>{{ end }}")).where(F.col("name") == "Ann").first().rendered
+    spans = [(got.content[s.start : s.end], s.source, s.line) for s in got.spans]
+    assert spans == [("one\n", "head", 1), ("Ann", "head", 2), ("\n", "head", 2), ("\n<", "body", 1), ("b", "body", 2), (">", "body", 2), ("\n<", "body", 1), (" C ", "body", 2), (">", "body", 2)]
+    for bad in ("{{ .gone }}", "{{ if .name }}", "{{ end }}", "{{ else }}", "{{ lower .n }}", "{{ .tags }}", "{{ . }}", "{{ .name | }}", "{{ }}", "a {{ .name", "{{ range .name }}{{ end }}", "{{ x .n }}", "{{ (.n }}"):
+        with pytest.raises(TemplateError, match="t0?:1"):
+            Template(("t", bad)).column(df.schema)

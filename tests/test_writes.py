@@ -137,3 +137,67 @@ def test_snapshots_hold(batch):
     with pytest.raises(Changed):
         p.apply(name)
     assert p.status(name) == "applying" and (root / "a.txt").read_text() == "someone else's"
+
+
+def _tar(files):
+    import io
+    import tarfile
+
+    out = io.BytesIO()
+    with tarfile.open(fileobj=out, mode="w:gz") as t:
+        for name, data in files.items():
+            info = tarfile.TarInfo(name)
+            if data is None:
+                info.type, info.linkname = tarfile.SYMTYPE, "/etc/passwd"
+            else:
+                info.size = len(data)
+            t.addfile(info, io.BytesIO(data or b""))
+    return out.getvalue()
+
+
+def test_mirrored_sources(spark, tmp_path):
+    """Refs and tags resolved in the reader, pins that do not hold refused, one partition for each artefact."""
+    import base64
+    import hashlib
+    from urllib.parse import quote
+
+    from scriptorium.sources.mirrors import fetch
+
+    commit, other = "a" * 40, "b" * 40
+    git = tmp_path / "git" / quote("https://g.example.org/r.git", safe="")
+    (git / commit / "docs").mkdir(parents=True)
+    (git / commit / "docs/a.md").write_text("a")
+    (git / "refs.json").write_text(json.dumps({"main": commit, "gone": other, "odd": "zz"}))
+    http = tmp_path / "http"
+    http.mkdir()
+    plain, bad = _tar({"x/y.txt": b"yy", "./z": b""}), _tar({"x": b"1", "l": None})
+    for name, data in {"plain": plain, "bad": bad, "up": _tar({"../x": b"1"}), "twice": _tar({"a": b"1", "A": b"2"})}.items():
+        (http / quote(f"https://h.example.org/{name}", safe="")).write_bytes(data)
+    tgz = _tar({"package/index.js": b"js", "other/no": b""})
+    npm = tmp_path / "npm" / quote("@s/p", safe="")
+    npm.mkdir(parents=True)
+    (npm / "p-1.2.0.tgz").write_bytes(tgz)
+    sri = "sha512-" + base64.b64encode(hashlib.sha512(tgz).digest()).decode()
+    (npm / "package.json").write_text(json.dumps({"name": "@s/p", "dist-tags": {"latest": "1.2.0", "next": "9.9.9"}, "versions": {"1.2.0": {"version": "1.2.0", "dist": {"tarball": "https://n/p-1.2.0.tgz", "integrity": f"sha256-AAAA {sri}"}}}}))
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    g = {"id": "g", "type": "git", "url": "https://g.example.org/r.git"}
+    h = {"id": "h", "type": "http", "url": "https://h.example.org/plain", "sha256": sha(plain)}
+    n = {"id": "n", "type": "npm", "package": "@s/p"}
+    df = fetch(spark, str(tmp_path), [{**g, "ref": "main"}, {**h, "archive": True}, {**h, "id": "f"}, {**n, "version": "latest"}])
+    assert df.rdd.getNumPartitions() == 4
+    got = {(r.id, r.path): (r.resolved, r.sha256, r.size, bytes(r.content)) for r in df.collect()}
+    assert got == {
+        ("g", "docs/a.md"): (commit, None, 1, b"a"), ("h", "x/y.txt"): (h["url"], sha(plain), 2, b"yy"), ("h", "z"): (h["url"], sha(plain), 0, b""),
+        ("f", "plain"): (h["url"], sha(plain), len(plain), plain), ("n", "index.js"): ("1.2.0", sha(tgz), 2, b"js"),
+    }
+    at = lambda name, data: {**h, "url": f"https://h.example.org/{name}", "sha256": sha(data), "archive": True}
+    read = lambda name: (http / quote(f"https://h.example.org/{name}", safe="")).read_bytes()
+    for wrong in (
+        {**g, "ref": "none"}, {**g, "ref": "gone"}, {**g, "ref": "odd"}, {**g, "ref": "main", "locked": {"commit": other}}, {**h, "sha256": "0" * 64}, {**h, "sha256": None}, {**h, "url": "https://h.example.org/none"},
+        {**n, "version": "next"}, {**n, "version": "none"}, {**n, "version": "latest", "locked": {"version": "1.2.0", "integrity": "sha512-AAAA"}}, {**n, "version": "1.2.0", "locked": {"version": "1.2.0", "sha256": "0" * 64}},
+        at("bad", bad), at("up", read("up")), at("twice", read("twice")), {**h, "type": "ftp"},
+    ):
+        with pytest.raises(Exception, match=wrong["id"]):
+            fetch(spark, str(tmp_path), [wrong]).collect()
+    locked = fetch(spark, str(tmp_path), [{**g, "ref": "moved", "locked": {"commit": commit}}]).collect()
+    assert [r.resolved for r in locked] == [commit]
