@@ -24,7 +24,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -153,13 +153,44 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("spot", "text").mapInArrow(run, "spot bigint, hashes array<bigint>")
 
 
+def _prefixes(docs: DataFrame, held: DataFrame, sets: DataFrame, size: int, similarity: float) -> DataFrame:
+    """(a, n, b, m) of sets that can be alike though all the keys they share are crowded.
+
+    Two sets of n and m shingles with a Jaccard similarity of t share t * n of
+    the first's, so in any order of all shingles they have one in common among
+    the first (1 - t) * n + 1 of each. The order here is by the number of these
+    sets that have a shingle, rarest first, so the parts that a crowd has in
+    common come last. Only sets with as many crowded keys as two have to share
+    take part, with their whole texts. A shingle that is crowded and yet among
+    the rarest of its set leaves that set without much of its own: it is close
+    to the key's ends, with which all are compared.
+    """
+    crowded = held.where(f"members > {_CROWD}").groupBy("id", "n").agg(F.count("*").alias("shared"))
+    crowded = cut(crowded.join(sets.select("id", "keys"), "id").where(F.col("shared") >= F.least(F.lit(_COMMON), F.size("keys"))).select(F.col("id").alias("spot"), "n"))
+    found = sieve(crowded, "spot")
+    near = sift(docs.select(F.xxhash64("doc_id", "rk").alias("spot"), "text"), found, "spot")
+    whole = cut(_sets(near, size).dropDuplicates(["spot"]).join(crowded, "spot"))
+    each = whole.select("spot", "n", F.explode("hashes").alias("hash"))
+    counts = cut(each.groupBy("hash").agg(F.count("*").alias("df")))
+    ranked = hot_join(each, counts.withColumn("rows", F.col("df")), ["hash"], "rows").where("df > 1")
+    # A set's own shingles come first and meet nobody; they only use up its prefix.
+    single = F.col("n") - F.count("*").over(Window.partitionBy("spot"))
+    place = F.row_number().over(Window.partitionBy("spot").orderBy("df", "hash")) + single
+    first = cut(ranked.withColumn("place", place).where(F.col("place") <= F.floor((1 - similarity) * F.col("n") + 1e-9) + 1).where(f"df <= {_CROWD}").select("hash", F.col("spot").alias("a"), "n"))
+    out = first.join(first.select("hash", F.col("a").alias("b"), F.col("n").alias("m")), "hash").where("a < b").select("a", "n", "b", "m").distinct()
+    out = cut(out)
+    release(crowded, found, whole, counts, first)
+    return out
+
+
 def alike(docs: DataFrame, own: DataFrame, size: int, similarity: float) -> DataFrame:
     """(a, b) links of fingerprints whose texts have shingle sets with a Jaccard similarity of `similarity` or more.
 
     own has the sketches of docs. Equal sets are one node. Candidates share one
     of their smallest hashes, and _COMMON of them in all; within a key each set
     is compared with the smallest and the largest id, and in keys of up to
-    _CROWD sets with all. The whole sets decide; they are built again for the
+    _CROWD sets with all; sets that share more crowded keys only are found by
+    their rarest shingles (`_prefixes`). The whole sets decide; they are built again for the
     candidates alone, which are found by a bitmap of bounded size.
     """
     some = own.where("n > 0")
@@ -175,7 +206,8 @@ def alike(docs: DataFrame, own: DataFrame, size: int, similarity: float) -> Data
     tries = [held.select(F.col("id").alias("a"), "n", F.col(f"{e}.id").alias("b"), F.col(f"{e}.n").alias("m")) for e in ("low", "high")]
     few = held.where(f"members between 3 and {_CROWD}").select("key", "id", "n")
     tries.append(few.select("key", F.col("id").alias("a"), "n").join(few.select("key", F.col("id").alias("b"), F.col("n").alias("m")), "key").where("a < b").select("a", "n", "b", "m"))
-    pairs = tries[0].unionByName(tries[1]).unionByName(tries[2]).where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    tries.append(_prefixes(docs, held, sets, size, similarity))
+    pairs = tries[0].unionByName(tries[1]).unionByName(tries[2]).unionByName(tries[3]).where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     side = lambda c, k, f: sets.select(F.col("id").alias(c), F.col("keys").alias(k), F.col("fp").alias(f))
     pairs = pairs.join(side("a", "ka", "fa"), "a").join(side("b", "kb", "fb"), "b").where(F.size(F.array_intersect("ka", "kb")) >= F.least(F.lit(_COMMON), F.size("ka"), F.size("kb")))
     pairs = cut(pairs.select("a", "b", "fa", "fb"))
