@@ -113,7 +113,9 @@ class Engine:
         c = self.catalog()
         asked, docs = self._changed(changed), c["documents"]
         files = self._markdown().select("path", "content")
-        named = tree.listing(self.spark, self.project or self.index.snapshot().root).join(F.broadcast(asked.limit(16)), "path").select("path", F.col("content").cast("string").alias("content"))
+        # The first 16 named files alone are read.
+        some = paths.normalize_paths(changed)[:16]
+        named = tree.some(self.spark, self.project or self.index.snapshot().root, some).select("path", F.col("content").cast("string").alias("content"))
         none = F.array().cast("array<string>")
         row = lambda df, p: df.select("path", F.lit(p).alias("priority"), F.lit(1).alias("start_line"), "content", none.alias("evidence"))
         hit = catalog.impact(docs, c["links"], asked).join(files, "path")
@@ -129,7 +131,9 @@ class Engine:
     def lock_check(self, lock_text: str) -> DataFrame:
         """M11."""
         held = manifests.lock(self.spark, lock_text)["files"]
-        live = tree.listing(self.spark, self.project or self.index.snapshot().root, 64 << 20).select("path", F.sha2("content", 256).alias("hash"))
+        # Owned files alone are read; a lock is a small file.
+        owned = [r["path"] for r in held.select("path").distinct().collect()]
+        live = tree.some(self.spark, self.project or self.index.snapshot().root, owned, 64 << 20).select("path", F.sha2("content", 256).alias("hash"))
         return locks.check(held, live)
 
     def doctor(self, journal_root: str | None = None, now=None) -> DataFrame:

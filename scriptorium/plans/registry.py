@@ -80,12 +80,11 @@ def byte_budget(spark, sf_dir):
 
 
 def _headings(spark, sf_dir):
-    """Every line of an even number counts as a heading; its level follows from its length."""
-    lines = chunks.lines(corpus(spark, sf_dir)).where("line_no % 2 = 0")
-    return lines.select("path", "line_no", (F.length("line") % 4 + 1).alias("level"), F.substring("line", 1, 12).alias("title"))
+    """Every line counts as a heading; its level follows from its length."""
+    return chunks.lines(corpus(spark, sf_dir)).select("path", "line_no", (F.length("line") % 4 + 1).alias("level"), F.sha2("line", 256).alias("title"))
 
 
-_HEADINGS = "headings AS (SELECT path, CAST(line_no AS INTEGER) AS line_no, length(line) % 4 + 1 AS level, substring(line, 1, 12) AS title FROM lines WHERE line_no % 2 = 0)"
+_HEADINGS = "headings AS (SELECT path, CAST(line_no AS INTEGER) AS line_no, length(line) % 4 + 1 AS level, sha256(line) AS title FROM lines)"
 _TRAIL = """SELECT h.path, h.line_no, CAST(h.level AS INTEGER) AS level,
  concat_ws(' > ', {parts}) AS trail, CAST((SELECT min(n.line_no) - 1 FROM headings n WHERE n.path = h.path AND n.line_no > h.line_no) AS INTEGER) AS section_end,
  CAST((SELECT min(n.line_no) - 1 FROM headings n WHERE n.path = h.path AND n.line_no > h.line_no AND n.level <= h.level) AS INTEGER) AS heading_end FROM headings h"""
@@ -101,10 +100,10 @@ def heading_trail(spark, sf_dir):
 
 @query("WITH " + ",\n".join([sql("", "corpus", "lines").removeprefix("WITH RECURSIVE ").strip()]) + """
  SELECT path, CAST(prev + 1 AS INTEGER) AS gap_start, CAST(start_line - 1 AS INTEGER) AS gap_end FROM
- (SELECT path, line_no AS start_line, coalesce(lag(line_no) OVER (PARTITION BY path ORDER BY line_no), 0) AS prev FROM lines WHERE line_no % 3 = 0) WHERE prev + 1 < start_line""")
+ (SELECT path, line_no AS start_line, coalesce(lag(line_no) OVER (PARTITION BY path ORDER BY line_no), 0) AS prev FROM lines WHERE regexp_matches(line, '^[A-M]')) WHERE prev + 1 < start_line""")
 def declaration_gaps(spark, sf_dir):
-    """W4, with every third line taken as a declaration."""
-    d = chunks.lines(corpus(spark, sf_dir)).where("line_no % 3 = 0").select("path", F.col("line_no").alias("start_line"), F.col("line_no").alias("end_line"))
+    """W4, with lines that begin with one of the first capitals taken as declarations."""
+    d = chunks.lines(corpus(spark, sf_dir)).where(F.col("line").rlike("^[A-M]")).select("path", F.col("line_no").alias("start_line"), F.col("line_no").alias("end_line"))
     return chunks.gaps(d).select("path", F.col("gap_start").cast("int").alias("gap_start"), F.col("gap_end").cast("int").alias("gap_end"))
 
 
@@ -255,11 +254,10 @@ def term_statistics(spark, sf_dir):
     return search.term_statistics(search.postings(_chunked(spark, sf_dir))).select("field", "term", "df", F.col("cf").cast("bigint").alias("cf"))
 
 
-@query(sql("""SELECT path, CAST(greatest(coalesce(min(CASE WHEN contains(lower(line), 'inor') THEN line_no END), 1) - 2, 1) AS INTEGER) AS start_line FROM lines GROUP BY path""", "corpus", "lines"))
+@query(sql("""SELECT c.path, CAST(greatest(coalesce(min(CASE WHEN contains(lower(line), 'inor') THEN line_no END), 1) - 2, 1) AS INTEGER) AS start_line FROM corpus c LEFT JOIN lines l ON l.path = c.path GROUP BY c.path""", "corpus", "lines"))
 def search_excerpt(spark, sf_dir):
     """Where the excerpt of every file begins."""
-    c = corpus(spark, sf_dir).where("content <> ''")
-    return c.select("path", (text.excerpt_start(text.source_lines("content"), ["inor"]) + 1).cast("int").alias("start_line"))
+    return corpus(spark, sf_dir).select("path", (text.excerpt_start(text.source_lines("content"), ["inor"]) + 1).cast("int").alias("start_line"))
 
 
 @query(sql("SELECT path, kind, language FROM corpus WHERE kind = 'code' ORDER BY path LIMIT 100 OFFSET 20", "corpus"))
@@ -312,11 +310,11 @@ def freshness_summary(spark, sf_dir):
     return diff.freshness_summary(_fresh(spark, sf_dir)).select("state", "count", F.array_join("paths", " ").alias("paths"))
 
 
-@query(sql("SELECT h.path, CASE WHEN o.path IS NULL OR n.path IS NULL THEN true ELSE o.size <> n.size OR o.hash <> n.hash END AS stale FROM (SELECT path FROM corpus WHERE doc_id % 3 = 0) h LEFT JOIN old o ON h.path = o.path LEFT JOIN new n ON h.path = n.path", "corpus", "old", "new"))
+@query(sql("SELECT h.path, CASE WHEN o.path IS NULL OR n.path IS NULL THEN true ELSE o.size <> n.size OR o.hash <> n.hash END AS stale FROM corpus h LEFT JOIN old o ON h.path = o.path LEFT JOIN new n ON h.path = n.path", "corpus", "old", "new"))
 def stale_hits(spark, sf_dir):
-    """Every third file as a hit."""
+    """Every file as a hit."""
     old, new = manifests(spark, sf_dir)
-    return diff.mark_stale(corpus(spark, sf_dir).where("doc_id % 3 = 0").select("path"), old, new)
+    return diff.mark_stale(corpus(spark, sf_dir).select("path"), old, new)
 
 
 @query(sql("SELECT sha256(content) AS hash, count(*) AS copies, min(path) AS first_path FROM corpus GROUP BY sha256(content) HAVING count(*) > 1", "corpus"))
@@ -396,14 +394,14 @@ def impact_direct(spark, sf_dir):
     return catalog.direct_impact(docs, links, _asked(spark, sf_dir))
 
 
-@query(sql("", "corpus", "graph").strip() + ",\n" + _EDGES + """, start AS (SELECT path FROM docs WHERE doc_id % 50 = 5),
+@query(sql("", "corpus", "graph").strip() + ",\n" + _EDGES + """, start AS (SELECT path FROM docs WHERE doc_id % 20 = 0),
  hop1 AS (SELECT DISTINCT dst AS path FROM edges WHERE src IN (SELECT path FROM start) AND dst NOT IN (SELECT path FROM start)),
  hop2 AS (SELECT DISTINCT dst AS path FROM edges WHERE src IN (SELECT path FROM hop1) AND dst NOT IN (SELECT path FROM start) AND dst NOT IN (SELECT path FROM hop1))
  SELECT path, CAST(0 AS INTEGER) AS hops FROM start UNION ALL SELECT path, 1 FROM hop1 UNION ALL SELECT path, 2 FROM hop2""")
 def impact_bfs(spark, sf_dir):
-    """G1: two steps from every fiftieth document."""
+    """G1: two steps from the documents asked for, those whose id is divisible by 20."""
     docs, _ = graph(spark, sf_dir)
-    return catalog.spread(docs.where("doc_id % 50 = 5"), catalog.edges(docs)).select("path", "hops")
+    return catalog.spread(docs.where("doc_id % 20 = 0"), catalog.edges(docs)).select("path", "hops")
 
 
 @query(sql("", "corpus", "graph").strip() + ",\n" + """good AS (SELECT id, min(superseded_by) AS after FROM docs GROUP BY id HAVING count(*) = 1 AND min(collection) = 'decisions' AND min(status) IN ('accepted', 'superseded')),
@@ -557,10 +555,10 @@ def merge_lock(spark, sf_dir):
     return merge.merge_lock(o.where("o_orderkey % 4 = 0").select("id"), o.where("o_orderkey % 3 <> 0").select("id", F.col("o_orderstatus").alias("state")), o.where("o_orderkey % 5 <> 0").select("id", F.col("o_orderpriority").alias("state")))
 
 
-@query(sql("SELECT path, sha256(content || chr(10) || '# begin' || chr(10) || 'managed' || chr(10) || '# end' || chr(10)) AS hash FROM corpus WHERE content <> '' AND right(content, 1) <> chr(10)", "corpus"))
+@query(sql("SELECT path, sha256(CASE WHEN coalesce(content, '') IN ('', chr(10)) THEN coalesce(content, '') WHEN right(content, 1) = chr(10) THEN content ELSE content || chr(10) END || '# begin' || chr(10) || 'managed' || chr(10) || '# end' || chr(10)) AS hash FROM corpus", "corpus"))
 def managed_blocks(spark, sf_dir):
     """K9: a block is written, replaced by another, and that is the same as writing the other at once."""
-    c = corpus(spark, sf_dir).where("content <> ''").where(F.substring("content", -1, 1) != "\n")
+    c = corpus(spark, sf_dir).withColumn("content", F.coalesce("content", F.lit("")))
     first = c.select("path", merge.managed_block(F.col("content"), "# begin", "# end", "old\nlines").alias("content"))
     return first.select("path", F.sha2(merge.managed_block(F.col("content"), "# begin", "# end", "managed"), 256).alias("hash"))
 
