@@ -77,6 +77,10 @@ class IgnoreRules:
             if line:
                 self.rules.append((domain.strip("/"), negated, only_dirs, line if anchored else f"**/{line}"))
 
+    def rows(self) -> list[tuple[int, str, bool, bool, str]]:
+        """(ordinal, domain, negated, only_dirs, pattern) of every rule; a pattern fits a whole path below the domain."""
+        return [(n, domain, negated, only_dirs, f"(?s)^{_compiled(glob).pattern.removesuffix(chr(92) + 'Z')}$") for n, (domain, negated, only_dirs, glob) in enumerate(self.rules)]
+
     def _one(self, path: str, is_dir: bool) -> bool:
         for domain, negated, only_dirs, glob in reversed(self.rules):
             if domain and not path.startswith(domain + "/"):

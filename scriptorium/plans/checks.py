@@ -170,26 +170,3 @@ def diagnostics_once(spark, sf_dir):
     docs, links = graph(spark, sf_dir)
     found = docs.select("path", F.lit("related").alias("code")).unionByName(links.select("path", F.lit("link").alias("code"))).unionByName(links.select("path", F.lit("link").alias("code")))
     return catalog.first_diagnostics(found)
-
-
-@query("""SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'git' WHEN 1 THEN 'http' WHEN 2 THEN 'npm' WHEN 3 THEN 'confluence' END AS type FROM documents""")
-def resolved_types(spark, sf_dir):
-    """the source type of locked identities; the fifth kind fits none."""
-    d, n, raw = spark.read.parquet(f"{sf_dir}/documents.parquet"), F.col("doc_id") % 5, F.sha2("text", 256)
-    at = lambda k, v: F.when(n == k, v).otherwise("")
-    sri = F.concat(F.lit("sha256-"), F.base64(F.unhex(raw)))
-    rows = d.select(
-        "doc_id", at(3, "7").alias("revision"), F.when(n == 0, F.substring(raw, 1, 40)).when(n == 4, "abc").otherwise("").alias("commit"), at(2, "https://example.org/p.tgz").alias("url"),
-        at(2, "1.2.3-rc.1").alias("version"), at(2, sri).alias("integrity"), F.when(n.isin(1, 2), raw).otherwise("").alias("sha256"),
-    )
-    return rows.select("doc_id", locks.resolved_type().alias("type"))
-
-
-@query("""SELECT id, problem FROM (SELECT doc_id AS id, unnest(CASE doc_id % 4 WHEN 0 THEN ['ref is required for git'] WHEN 1 THEN ['version does not belong to http'] WHEN 2 THEN ['unknown type'] ELSE ['version is required for npm', 'sha256 must be 64 lower-case hex digits', 'sha256 does not belong to npm'] END) AS problem FROM documents)""")
-def source_rules(spark, sf_dir):
-    """sources that break a rule each."""
-    d, n = spark.read.parquet(f"{sf_dir}/documents.parquet"), F.col("doc_id") % 4
-    at = lambda v, *ks: F.when(n.isin(*ks), v).otherwise("")
-    kind = F.when(n == 0, "git").when(n == 1, "http").when(n == 2, "ftp").otherwise("npm")
-    rows = d.select(F.col("doc_id").alias("id"), kind.alias("type"), at("https://example.org/x", 0, 1).alias("url"), F.lit("").alias("ref"), at("12ab", 3).alias("sha256"), at("pkg", 3).alias("package"), at("1.0.0", 1).alias("version"), F.lit("").alias("page"))
-    return locks.source_problems(rows)

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -105,16 +102,27 @@ def ignore_rules(files: DataFrame, names: tuple[str, ...] = (".gitignore",), roo
 
 
 def without_ignored(files: DataFrame, rules: paths.IgnoreRules) -> DataFrame:
+    """The files that no rule leaves out.
+
+    Each folder that files lie in, and each file, meets the rules of the
+    folders above it; of those that fit, the last decides. A file goes if that
+    leaves out the file or any folder on its way, so nothing comes back from
+    below. Only paths are shuffled, folders once each.
+    """
     if not rules.rules:
         return files
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield b[[not rules.ignored(p) for p in b["path"]]]
-
-    # Only paths travel to Python; contents are joined back by path where they are needed.
-    kept = files.select("path").mapInPandas(run, "path string")
-    return files.join(kept, "path", "left_semi")
+    spark = files.sparkSession
+    table = spark.createDataFrame(rules.rows(), "ordinal int, domain string, negated boolean, only_dirs boolean, pattern string")
+    each = files.select("path").distinct().select("path", F.explode(text.ancestors("path")).alias("part"))
+    parts = each.select("part", (F.col("part") != F.col("path")).alias("is_dir")).distinct()
+    # The domains above a part: its folders, and the root.
+    above = F.concat(F.array(F.lit("")), F.filter(text.ancestors("part"), lambda a: a != F.col("part")))
+    met = parts.withColumn("domain", F.explode(above)).join(table, "domain").where(F.col("is_dir") | ~F.col("only_dirs"))
+    below = F.expr("substring(part, if(domain = '', 1, length(domain) + 2))")
+    fit = met.withColumn("below", below).where(F.expr("below rlike pattern"))
+    out = fit.groupBy("part", "is_dir").agg(F.max_by("negated", "ordinal").alias("kept")).where("not kept").select("part", "is_dir")
+    gone = each.withColumn("is_dir", F.col("part") != F.col("path")).join(out, ["part", "is_dir"]).select("path").distinct()
+    return files.join(gone, "path", "left_anti")
 
 
 def scan(spark: SparkSession, root: str, extra_extensions: tuple[str, ...] = (), extra_directories: tuple[str, ...] = (), max_bytes: int = MAX_FILE_BYTES) -> DataFrame:

@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from scriptorium.plans import checks, graph_checks, more_checks  # noqa: F401  (these add their queries to the registry)
+from scriptorium.plans import checks, graph_checks, more_checks, record_checks  # noqa: F401  (these add their queries to the registry)
 from scriptorium.plans.registry import FLAGSHIP, ORACLE_SQL, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
