@@ -63,24 +63,6 @@ def generated_sources(spark, sf_dir):
     return corpus(spark, sf_dir).select("path", text.generated_go(F.concat(head, "content")).alias("generated"))
 
 
-@query("SELECT doc_id, '1.' || CAST(doc_id % 30 AS VARCHAR) AS go, CASE WHEN doc_id % 2 = 0 THEN 'go1.22.' || CAST(doc_id % 9 AS VARCHAR) END AS toolchain FROM documents")
-def module_directives(spark, sf_dir):
-    """The go and toolchain lines of module files."""
-    d, n = spark.read.parquet(f"{sf_dir}/documents.parquet"), F.col("doc_id")
-    body = F.concat(F.lit("module example.org/m\n\ngo 1."), n % 30, F.lit("\n"), F.when(n % 2 == 0, F.concat(F.lit("toolchain go1.22."), n % 9, F.lit("\n"))).otherwise(""))
-    return d.select("doc_id", text.go_directive(body, "go").alias("go"), text.go_directive(body, "toolchain").alias("toolchain"))
-
-
-@query("SELECT doc_id, CASE WHEN doc_id % 4 = 3 THEN NULL WHEN doc_id % 2 = 0 THEN 'sha512:' || repeat(sha256(text), 2) ELSE 'sha256:' || sha256(text) END AS checksum FROM documents")
-def integrity_checksums(spark, sf_dir):
-    """The strongest of a list, and none of an unknown kind."""
-    d, n = spark.read.parquet(f"{sf_dir}/documents.parquet"), F.col("doc_id")
-    raw = F.sha2("text", 256)
-    short, long = F.concat(F.lit("sha256-"), F.base64(F.unhex(raw))), F.concat(F.lit("sha512-"), F.base64(F.unhex(F.concat(raw, raw))))
-    value = F.when(n % 4 == 3, F.concat(F.lit("md5-"), raw)).when(n % 2 == 0, F.concat_ws(" ", short, long)).otherwise(short)
-    return d.select("doc_id", text.integrity_checksum(F.regexp_replace(value, "\r?\n", "")).alias("checksum"))
-
-
 _ID = "CASE doc_id % 4 WHEN 0 THEN '20240105-' || lang || '-00af' WHEN 1 THEN '20240105-x' WHEN 2 THEN '20240105-' || upper(lang) || '-00af' ELSE '20240105-' || repeat('a', 60) || '-00af' END"
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scriptorium.functions import paths
+from scriptorium.functions import paths, text
 from scriptorium.operators import catalog, chunks, journal, locks, skills
 from scriptorium.plans.registry import _DIRECT, _EDGES, _asked, query
 from scriptorium.plans.views import corpus, graph, sql
@@ -180,3 +180,36 @@ def resolved_types(spark, sf_dir):
         some(6, "7", F.concat(F.lit("sha256-"), F.base64(F.unhex(h)))).alias("integrity"), some(7, "b", odd(15, F.upper(h), h)).alias("sha256"),
     )
     return rows.select("doc_id", locks.resolved_type().alias("type"))
+
+
+_MODULE = """'module x // go 9.9' || chr(10) || CASE WHEN substr(h, 1, 1) < '3' THEN '// go 1.1' || chr(10) ELSE '' END || CASE WHEN substr(h, 2, 1) < 'd' THEN CASE WHEN substr(h, 3, 1) < '4' THEN chr(9) ELSE '' END || 'go' || CASE WHEN substr(h, 4, 1) < '4' THEN '   ' ELSE ' ' END || '1.' || CAST(ascii(substr(h, 5, 1)) AS VARCHAR) || CASE WHEN substr(h, 6, 1) < '8' THEN ' // why' ELSE '' END || chr(10) ELSE '' END
+ || CASE WHEN substr(h, 7, 1) < '8' THEN 'golang 1.5' || chr(10) ELSE '' END || CASE WHEN substr(h, 8, 1) < '9' THEN 'toolchain go1.22.' || CAST(ascii(substr(h, 9, 1)) AS VARCHAR) || chr(10) ELSE 'toolchains x' || chr(10) END || 'go 7.7' || chr(10)"""
+
+
+@query(rf"""SELECT doc_id, nullif(regexp_extract(m, '(?m)^\s*go\s+(\S+)', 1), '') AS go, nullif(regexp_extract(m, '(?m)^\s*toolchain\s+(\S+)', 1), '') AS toolchain FROM (SELECT doc_id, {_MODULE} AS m FROM (SELECT doc_id, sha256(CAST(doc_id AS VARCHAR)) AS h FROM documents))""")
+def module_directives(spark, sf_dir):
+    """Module files with comments, odd blanks, look-alikes and lines that are missing or repeated, by a hash of the id."""
+    h = F.col("h")
+    at = lambda k, below, yes, no="": F.when(F.substring(h, k, 1) < below, yes).otherwise(no)
+    code = lambda k: F.ascii(F.substring(h, k, 1)).cast("string")
+    go = F.concat(at(3, "4", "\t"), F.lit("go"), at(4, "4", "   ", " "), F.lit("1."), code(5), at(6, "8", " // why"), F.lit("\n"))
+    body = F.concat(F.lit("module x // go 9.9\n"), at(1, "3", "// go 1.1\n"), at(2, "d", go), at(7, "8", "golang 1.5\n"), F.when(F.substring(h, 8, 1) < "9", F.concat(F.lit("toolchain go1.22."), code(9), F.lit("\n"))).otherwise("toolchains x\n"), F.lit("go 7.7\n"))
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.sha2(F.col("doc_id").cast("string"), 256).alias("h"))
+    return d.select("doc_id", text.go_directive(body, "go").alias("go"), text.go_directive(body, "toolchain").alias("toolchain"))
+
+
+_SRI = """trim(CASE WHEN substr(h, 1, 1) < '8' THEN ' md5-' || h ELSE '' END || CASE WHEN substr(h, 2, 1) < '8' THEN ' sha256-' || to_base64(unhex(h)) ELSE '' END || CASE WHEN substr(h, 3, 1) < '6' THEN '   sha512-' || to_base64(unhex(reverse(h) || h)) ELSE '' END
+ || CASE WHEN substr(h, 4, 1) < '6' THEN ' sha384-' || to_base64(unhex(h || left(h, 32))) ELSE '' END || CASE WHEN substr(h, 5, 1) < '6' THEN ' sha256-' || to_base64(unhex(reverse(h))) ELSE '' END || ' ')"""
+
+
+@query(f"""SELECT doc_id, CASE WHEN p <> '' THEN split_part(p, '-', 1) || ':' || lower(hex(from_base64(substr(p, 8)))) END AS checksum FROM
+ (SELECT doc_id, coalesce(nullif(regexp_extract(i, 'sha512-[^ ]+'), ''), nullif(regexp_extract(i, 'sha384-[^ ]+'), ''), regexp_extract(i, 'sha256-[^ ]+')) AS p FROM (SELECT doc_id, {_SRI} AS i FROM (SELECT doc_id, sha256(CAST(doc_id AS VARCHAR)) AS h FROM documents)))""")
+def integrity_checksums(spark, sf_dir):
+    """Lists of up to five digests of four kinds in one order, each there or not by a hash of the id."""
+    h = F.col("h")
+    some = lambda k, below, name, raw: F.when(F.substring(h, k, 1) < below, F.concat(F.lit(name), F.regexp_replace(F.base64(F.unhex(raw)), "\\s", ""))).otherwise("")
+    value = F.concat(
+        F.when(F.substring(h, 1, 1) < "8", F.concat(F.lit(" md5-"), h)).otherwise(""), some(2, "8", " sha256-", h), some(3, "6", "   sha512-", F.concat(F.reverse(h), h)), some(4, "6", " sha384-", F.concat(h, F.substring(h, 1, 32))), some(5, "6", " sha256-", F.reverse(h)), F.lit(" "),
+    )
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.sha2(F.col("doc_id").cast("string"), 256).alias("h"))
+    return d.select("doc_id", text.integrity_checksum(value).alias("checksum"))
