@@ -25,7 +25,7 @@ Words are lower-cased runs of letters and digits, so punctuation and line
 breaks inside a passage do not hide it. An item of fewer than w words is one
 shingle of all its words. Cases: items or documents that are null or have no
 words match nothing; documents of any length are read whole; repeated rows are
-reported each; copies in different blocks of a large benchmark are different items; an empty benchmark or table gives no rows; extra columns are
+reported each, whatever the size of blocks; an empty benchmark or table gives no rows; extra columns are
 ignored by `search` and passed through by `remove_contaminated`.
 """
 
@@ -78,18 +78,14 @@ def _rows(texts: list[bytes], widths: list[int]) -> Iterator[tuple[int, np.ndarr
 class Index:
     """Sketches of a block of items, by size: sorted arrays of hashes and the items that each stands for."""
 
-    def __init__(self, items: list[tuple[int, bytes]], width: int, threshold: float):
-        self.threshold, self.sets, self.ids, self.widths = threshold, [], [], []
-        known: dict[tuple[bytes, ...], int] = {}
-        for item, text in sorted(items):
-            words = tuple(words_of(text))
-            if words in known:
-                self.ids[known[words]].append(item)
-            elif words:
-                known[words] = len(self.sets)
-                self.ids.append([item])
-                self.sets.append(shingles_of(list(words), width))
-                self.widths.append(min(width, len(words)))
+    def __init__(self, items: list[tuple[int, bytes, int]], width: int, threshold: float):
+        self.threshold, self.sets, self.ids, self.copies, self.widths = threshold, [], [], [], []
+        for item, text, copies in sorted(items, key=lambda x: (x[0] is not None, x[0] or 0, x[1])):
+            words = words_of(text)
+            self.ids.append(item)
+            self.copies.append(copies)
+            self.sets.append(shingles_of(words, width))
+            self.widths.append(min(width, len(words)))
         held: dict[tuple[int, int], list[tuple[np.ndarray, int]]] = defaultdict(list)
         for i, found in enumerate(self.sets):
             h = np.unique(np.concatenate([x for _, x, _ in _rows([b" ".join(s) for s in found], [self.widths[i]])]))
@@ -128,15 +124,33 @@ class Index:
                     yield d, i, len(self.sets[i]), found
 
 
-def blocks_of(benchmark: DataFrame, item_column: str, text_column: str, block_bytes: int) -> Iterator[list[tuple[int, bytes]]]:
-    """Items in blocks of at most block_bytes of text (one item at least), streamed from the table."""
+def _worded(benchmark: DataFrame, item_column: str, text_column: str) -> DataFrame:
+    """(item_id, words): the words of every item, space-joined; items without words are left out."""
+
+    def run(batches):
+        for batch in batches:
+            words = [b" ".join(words_of(t)) for t in encoded(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.binary())], ["item_id", "words"])
+
+    prepare(benchmark.sparkSession)
+    return benchmark.select(F.col(item_column).cast("bigint").alias("item_id"), F.col(text_column).alias("text")).mapInArrow(run, "item_id bigint, words binary").where("length(words) > 0")
+
+
+def distinct_items(benchmark: DataFrame, item_column: str = "item_id", text_column: str = "text") -> DataFrame:
+    """(item_id, words, copies): one item for all of equal words, the smallest id. Made before blocks are cut, so results do not depend on those."""
+    rows = _worded(benchmark, item_column, text_column)
+    return cut(rows.groupBy(F.sha2("words", 256).alias("key")).agg(F.min("item_id").alias("item_id"), F.first("words").alias("words"), F.count("*").cast("int").alias("copies")).select("item_id", "words", "copies"))
+
+
+def blocks_of(items: DataFrame, block_bytes: int) -> Iterator[list[tuple[int, bytes, int]]]:
+    """Distinct items in blocks of at most block_bytes of text (one item at least), streamed from the table."""
     held, size = [], 0
-    for row in benchmark.select(F.col(item_column).cast("bigint").alias("i"), F.col(text_column).alias("t")).where("t is not null").toLocalIterator():
-        text = row["t"].encode()
+    for row in items.toLocalIterator():
+        text = bytes(row["words"])
         if held and size + len(text) > block_bytes:
             yield held
             held, size = [], 0
-        held.append((row["i"], text))
+        held.append((row["item_id"], text, row["copies"]))
         size += len(text)
     if held:
         yield held
@@ -176,8 +190,8 @@ def _keep(docs: DataFrame, text_column: str, chosen) -> DataFrame:
     return docs.mapInArrow(run, docs.schema)
 
 
-def _indexes(benchmark: DataFrame, width: int, threshold: float, item_column: str, text_column: str, block_bytes: int) -> Iterator[Index]:
-    return (Index(items, width, threshold) for items in blocks_of(benchmark, item_column, text_column, block_bytes))
+def _indexes(items: DataFrame, width: int, threshold: float, block_bytes: int) -> Iterator[Index]:
+    return (Index(block, width, threshold) for block in blocks_of(items, block_bytes))
 
 
 def _clean(index: Index, texts: list[bytes]) -> np.ndarray:
@@ -186,14 +200,14 @@ def _clean(index: Index, texts: list[bytes]) -> np.ndarray:
     return out
 
 
-def _found(light: DataFrame, shared, expand: bool) -> DataFrame:
+def _found(light: DataFrame, shared) -> DataFrame:
     def run(batches):
         index = shared.value
         for batch in batches:
             texts = encoded(batch.column(1))
             ids = batch.column(0).to_pylist()
             for a, b in slices(texts):
-                got = [(ids[a + d], item, n, k, k / n, len(index.ids[i])) for d, i, n, k in index.search(texts[a:b]) for item in (index.ids[i] if expand else index.ids[i][:1])]
+                got = [(ids[a + d], index.ids[i], n, k, k / n, index.copies[i]) for d, i, n, k in index.search(texts[a:b])]
                 if got:
                     kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.int32())
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got), kinds)], _COLUMNS)
@@ -206,17 +220,24 @@ def search(docs: DataFrame, benchmark: DataFrame, width: int = 5, threshold: flo
     prepare(docs.sparkSession)
     light = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).alias("text"))
     spread = docs.sparkSession.sparkContext.broadcast
-    indexes = lambda: _indexes(benchmark, width, threshold, item_column, item_text_column, block_bytes)
+    items = distinct_items(benchmark, item_column, item_text_column)
+    indexes = lambda: _indexes(items, width, threshold, block_bytes)
     first = list(islice(indexes(), 2))
+    if not first:
+        return docs.sparkSession.createDataFrame([], SCHEMA)
     if len(first) < 2:
-        return _found(light, spread(first[0]), expand) if first else docs.sparkSession.createDataFrame([], SCHEMA)
-    suspects, out = _suspects(light, "text", indexes())[0], None
-    for index in indexes():
-        shared = spread(index)
-        part = cut(_found(suspects, shared, expand))
-        shared.destroy()
-        out = part if out is None else out.unionByName(part)
-    return out
+        out = _found(light, spread(first[0]))
+    else:
+        suspects, out = _suspects(light, "text", indexes())[0], None
+        for index in indexes():
+            shared = spread(index)
+            part = cut(_found(suspects, shared))
+            shared.destroy()
+            out = part if out is None else out.unionByName(part)
+    if not expand:
+        return out
+    classes = item_classes(benchmark, item_column, item_text_column).withColumnRenamed("item_id", "_every")
+    return out.join(classes, out["item_id"].eqNullSafe(classes["class_id"])).select("doc_id", F.col("_every").alias("item_id"), *_COLUMNS[2:])
 
 
 def _suspects(docs: DataFrame, text_column: str, indexes: Iterator[Index]) -> tuple[DataFrame, DataFrame]:
@@ -232,7 +253,8 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, t
     """The documents, with their columns, that contain no benchmark item."""
     prepare(docs.sparkSession)
     spread = docs.sparkSession.sparkContext.broadcast
-    indexes = lambda: _indexes(benchmark, width, threshold, "item_id", "text", block_bytes)
+    items = distinct_items(benchmark)
+    indexes = lambda: _indexes(items, width, threshold, block_bytes)
     first = list(islice(indexes(), 2))
     if len(first) < 2:
         return _keep(docs, "text", (spread(first[0]), _clean)) if first else docs
@@ -248,13 +270,5 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, t
 
 def item_classes(benchmark: DataFrame, item_column: str = "item_id", text_column: str = "text") -> DataFrame:
     """(item_id, class_id): items of equal words and the smallest item_id among them; items without words are left out."""
-
-    def run(batches):
-        for batch in batches:
-            words = [b" ".join(words_of(t)) for t in encoded(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.binary())], ["item_id", "words"])
-
-    prepare(benchmark.sparkSession)
-    rows = benchmark.select(F.col(item_column).cast("bigint").alias("item_id"), F.col(text_column).alias("text")).mapInArrow(run, "item_id bigint, words binary").where("length(words) > 0")
-    keyed = cut(rows.select("item_id", F.sha2("words", 256).alias("words")))
+    keyed = cut(_worded(benchmark, item_column, text_column).select("item_id", F.sha2("words", 256).alias("words")))
     return keyed.join(keyed.groupBy("words").agg(F.min("item_id").alias("class_id")), "words").select("item_id", "class_id")

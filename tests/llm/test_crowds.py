@@ -42,3 +42,20 @@ def test_documents_with_one_lead(spark, pairs):
         rows += [(len(rows), " ".join(lead + tail)), (len(rows) + 1, " ".join(lead + copy))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id for r in simhash.keep_one(docs, size=5, similarity=0.8).collect()} == set(range(0, 2 * pairs, 2))
+
+
+def test_items_do_not_depend_on_blocks(spark):
+    """Equal items are one class with its number of copies, in one block or many."""
+    from scriptorium.llm import decontamination
+
+    rng = random.Random(6)
+    items = [" ".join(_word(rng) for _ in range(12)) for _ in range(30)]
+    rows = [(i, t) for i, t in enumerate(items)] + [(100 + i, t.upper() if i % 2 else t) for i, t in enumerate(items[:9])] + [(200, ""), (201, None), (None, items[3])]
+    docs = spark.createDataFrame([(i, f"{_word(rng)} {t} {_word(rng)}") for i, t in enumerate(items[:20])] + [(50, None), (51, "")], "doc_id long, text string")
+    bench = spark.createDataFrame(rows, "item_id long, text string")
+    for expand in (False, True):
+        got = [sorted(map(tuple, decontamination.search(docs, bench, block_bytes=n, expand=expand).collect()), key=str) for n in (250, 2000, 8 << 20)]
+        assert got[0] == got[1] == got[2]
+        assert {r[5] for r in got[0] if r[0] < 9} == {2, 3} and len(got[0]) == (20 if not expand else 30)
+    left = [sorted(r.doc_id for r in decontamination.remove_contaminated(docs, bench, block_bytes=n).collect()) for n in (250, 8 << 20)]
+    assert left == [[50, 51], [50, 51]]
