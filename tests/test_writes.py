@@ -201,3 +201,83 @@ def test_mirrored_sources(spark, tmp_path):
             fetch(spark, str(tmp_path), [wrong]).collect()
     locked = fetch(spark, str(tmp_path), [{**g, "ref": "moved", "locked": {"commit": commit}}]).collect()
     assert [r.resolved for r in locked] == [commit]
+
+
+def test_vendoring(spark, tmp_path):
+    """Dry run, update, sync to the pins, files in the way, changes by hand, removals."""
+    from urllib.parse import quote
+
+    from scriptorium.plans.vendoring import Refused, Vendoring
+
+    one, two = "a" * 40, "b" * 40
+    git = tmp_path / "mirror" / "git" / quote("https://g.example.org/r", safe="")
+    for commit, files in {one: {"docs/a.md": "a1", "docs/sub/b.md": "b1", "LICENSE": "free"}, two: {"docs/a.md": "a2", "docs/c.md": "c2", "LICENSE": "free"}}.items():
+        for path, body in files.items():
+            (git / commit / path).parent.mkdir(parents=True, exist_ok=True)
+            (git / commit / path).write_text(body)
+    (git / "refs.json").write_text(json.dumps({"main": one}))
+    root = tmp_path / "project"
+    root.mkdir()
+    v = Vendoring(spark, str(root), str(tmp_path / "records"), str(tmp_path / "mirror"))
+    art = [{"id": "d", "type": "git", "url": "https://g.example.org/r", "ref": "main"}]
+    maps = spark.createDataFrame([("d", "docs", "third/docs/", True), ("d", "LICENSE", "third/LICENSE", False)], "id string, `from` string, `to` string, directory boolean")
+    none = spark.createDataFrame([], "id string, path string, hash string")
+    dry = v.plan(art, maps, none)
+    assert sorted(map(tuple, dry["changes"].collect())) == [("third/LICENSE", "create"), ("third/docs/a.md", "create"), ("third/docs/sub/b.md", "create")] and _tree(root) == {}
+    done = v.update(art, maps, none)
+    first = {"third/LICENSE": "free", "third/docs/a.md": "a1", "third/docs/sub/b.md": "b1"}
+    assert done["applied"] == 3 and _tree(root) == first
+    lock = spark.createDataFrame(done["lock"].collect(), done["lock"].schema)
+    assert {r.resolved for r in lock.collect()} == {one} and {r.state for r in v.check(lock).collect()} == {"ok"}
+    (git / "refs.json").write_text(json.dumps({"main": two}))
+    pins = {"d": {"commit": one}}
+    assert v.sync(art, maps, lock, pins)["applied"] == 0 and _tree(root) == first
+    with pytest.raises(Refused):
+        v.sync(art, maps, lock, {})
+    (root / "third/docs/a.md").write_text("mine")
+    (root / "third/docs/c.md").write_text("in the way")
+    assert {r.path: r.state for r in v.check(lock).collect()}["third/docs/a.md"] == "differs"
+    with pytest.raises(Refused, match="a.md: locally_modified; third/docs/c.md: unowned_target"):
+        v.update(art, maps, lock)
+    assert v.update(art, maps, lock, force=True)["status"] == "complete"
+    assert _tree(root) == {"third/LICENSE": "free", "third/docs/a.md": "a2", "third/docs/c.md": "c2"} and not (root / "third/docs/sub").exists()
+    for bad in ([("d", "none", "x", True)], [("d", "docs", "x", True), ("d", "LICENSE", "X/a.md", False)], [("d", "LICENSE", "x", False), ("d", "docs/a.md", "x", False)]):
+        with pytest.raises(Refused):
+            v.plan(art, spark.createDataFrame(bad, maps.schema), none)
+
+
+def test_refresher(spark):
+    """At start, then once for all requests, no two at a time; cancelled by its limit and by stop."""
+    import threading
+    import time
+
+    from scriptorium.streaming.refresher import Refresher
+
+    gate, began = threading.Event(), []
+
+    def build():
+        began.append(time.time())
+        gate.wait(20)
+        return {"n": len(began)}
+
+    r = Refresher(spark, build, interval=0.5)
+    while not began:
+        time.sleep(0.01)
+    for _ in range(5):
+        r.request()
+    assert r.running
+    gate.set()
+    deadline = time.time() + 20
+    while len(r.reports) < 2 and time.time() < deadline:
+        time.sleep(0.02)
+    time.sleep(1)
+    assert r.reports == [{"n": 1}, {"n": 2}] and began[1] - began[0] >= 0.5 and r.stop(5)
+    slow = lambda: spark.range(1 << 45).selectExpr("sum(id % 7)").collect()
+    over = Refresher(spark, slow, interval=60, limit=0.5)
+    deadline = time.time() + 60
+    while not over.reports and time.time() < deadline:
+        time.sleep(0.05)
+    assert isinstance(over.reports[0], Exception) and over.stop(5)
+    other = Refresher(spark, slow, interval=60)
+    time.sleep(1)
+    assert other.stop(60) and isinstance(other.reports[0], Exception)
