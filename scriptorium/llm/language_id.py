@@ -12,7 +12,9 @@ from word runs of a bounded sample of labelled documents.
 
 Cases: null, empty or letterless texts give `und` and score 0. With no
 labelled row every text is `und`. Repeated rows score alike; extra columns are
-ignored. Numbers and symbols are separators and carry no label.
+ignored. Numbers and symbols are separators and carry no label. Texts of any
+length are read whole, in blocks of bounded size; of languages with equal mean
+posterior the first in order is taken; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ of each table and applies the logistic function: no tree is walked.
 Cases: a null or empty text has all features zero and gets the score of such
 texts. Repeated rows score alike. With no labelled rows, or one class only,
 the tables are empty and the score is the smoothed share of label 1. Extra
-columns are ignored.
+columns are ignored. Texts of any length are read whole; of splits with equal
+gain the first is taken; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -9,7 +9,9 @@ Repeated 8-word windows: window hashes are 64-bit; only texts with two equal
 window hashes pay for finding the covered words.
 
 Cases: a null text is treated as empty, has no words and fails the word
-minimum. Repeated rows get the same verdict. Extra columns are ignored.
+minimum. Repeated rows get the same verdict. Extra columns are ignored. Texts
+of any length are read whole; a value on a bound passes; an empty table gives
+no rows.
 """
 
 from __future__ import annotations

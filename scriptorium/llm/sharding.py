@@ -13,8 +13,9 @@ Only id, size and checksum are shuffled, never the text. The numbering is cut
 in the shared checkpoint folder, so a lost executor cannot renumber rows.
 
 Cases: a null text has no bytes; null ids come first; rows that agree in id,
-size and checksum are interchangeable and get neighbouring numbers; an empty
-table gives no rows; extra columns are ignored.
+size and checksum are interchangeable and get neighbouring numbers; texts of
+any length are measured whole, where they are read; an empty table gives no
+rows; extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -9,7 +9,9 @@ Only document labels are needed; p_s then locates the offending sentences.
 
 Cases: a null or empty text has no sentences and scores the leak. Repeated
 rows score alike. Without any labelled row the model is the prior (leak 0.01,
-no weights). Extra columns are ignored.
+no weights). Extra columns are ignored. Texts of any length are read whole; of
+an id that is labelled twice the greater label counts; an empty table gives no
+rows.
 """
 
 from __future__ import annotations
