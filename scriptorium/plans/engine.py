@@ -9,9 +9,12 @@ from scriptorium.functions import convert, paths, text
 from scriptorium.operators import catalog, chunks, context, diff, journal, locks, search
 from scriptorium.plans.index import Index
 from scriptorium.plans.session import ship
+from scriptorium.plans.vendoring import Vendoring
+from scriptorium.plans.writes import JournalWriter
 from scriptorium.sources import catalog as catalog_source
 from scriptorium.sources import journal as journal_source
 from scriptorium.sources import manifests, tree
+from scriptorium.streaming.refresher import Refresher
 
 
 class Journal:
@@ -128,6 +131,18 @@ class Engine:
     def journal(self, root: str) -> Journal:
         return Journal(self.spark, root)
 
+    def journal_writer(self, root: str, runtime: str = "", session: str = "") -> JournalWriter:
+        """M9: new, note, done, attach, gc."""
+        return JournalWriter(self.spark, root, self.project, runtime, session)
+
+    def refresher(self, **limits) -> Refresher:
+        """Refreshes the index now and on request, until stopped."""
+        return Refresher(self.spark, self.refresh, **limits)
+
+    def vendoring(self, records: str, mirror: str) -> Vendoring:
+        """Dry run, check, sync and update from a mirror."""
+        return Vendoring(self.spark, self.project or self.index.snapshot().root, records, mirror)
+
     def lock_check(self, lock_text: str) -> DataFrame:
         """M11."""
         held = manifests.lock(self.spark, lock_text)["files"]
