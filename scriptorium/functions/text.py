@@ -129,14 +129,22 @@ def normalize_tags(tags: Column | str) -> Column:
     return F.when(fine, t)
 
 
-def format_size(size: Column | str) -> Column:
-    """Bytes with a binary unit."""
+def format_size(size: Column | str, largest: str = "P") -> Column:
+    """Bytes with a binary unit up to `largest`, and one decimal; an exact half goes to the even digit, as printf has it."""
     b = _col(size)
+    exact = b.cast("double").cast("bigint")
     out = F.when(b < 1024, F.concat(b.cast("string"), F.lit(" B")))
     for k, unit in enumerate("KMGTP", 1):
-        scaled = F.format_string(f"%.1f {unit}iB", b.cast("double") / float(1024**k))
-        out = out.when(b < 1024 ** (k + 1), scaled) if unit != "P" else out.otherwise(scaled)
-    return out
+        low = F.lit(1024**k - 1)
+        tail = exact.bitwiseAND(low) * 10
+        digit, rest = F.shiftright(tail, 10 * k), tail.bitwiseAND(low) * 2
+        up = (rest > 1024**k) | ((rest == 1024**k) & (digit % 2 == 1))
+        tenths = F.shiftright(exact, 10 * k) * 10 + digit + up.cast("int")
+        scaled = F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit(f" {unit}iB"))
+        if unit == largest:
+            return out.otherwise(scaled)
+        out = out.when(b < 1024 ** (k + 1), scaled)
+    raise ValueError("largest must be one of K, M, G, T and P")
 
 
 def sanitize_remote(url: Column | str) -> Column:

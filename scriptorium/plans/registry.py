@@ -150,9 +150,9 @@ def status_meaning(spark, sf_dir):
  CASE WHEN s < 1024 THEN CAST(s AS VARCHAR) || ' B' WHEN s < 1048576 THEN printf('%.1f KiB', s / 1024.0) WHEN s < 1073741824 THEN printf('%.1f MiB', s / 1048576.0) WHEN s < 1099511627776 THEN printf('%.1f GiB', s / 1073741824.0) ELSE printf('%.1f TiB', s / 1099511627776.0) END AS shown
  FROM (SELECT *, CAST(l_extendedprice * l_partkey * l_partkey AS BIGINT) AS s FROM lineitem)""")
 def format_sizes(spark, sf_dir):
-    """P30 on sizes made of prices."""
+    """P30 on sizes made of prices; TiB is the largest unit."""
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumn("size", F.rint(F.col("l_extendedprice") * F.col("l_partkey") * F.col("l_partkey")).cast("bigint"))
-    return li.select("l_orderkey", "l_linenumber", "size", text.format_size("size").alias("shown"))
+    return li.select("l_orderkey", "l_linenumber", "size", text.format_size("size", "T").alias("shown"))
 
 
 @query(r"""SELECT page_id, regexp_replace(regexp_replace(url, '^(https?://)', '\1user:pw@'), '^(https?://)[^/@]*@', '\1') AS remote FROM pages""")

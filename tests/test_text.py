@@ -42,6 +42,11 @@ def test_format_size(spark, size, shown):
     assert one(spark, text.format_size(F.lit(size))) == shown
 
 
+@pytest.mark.parametrize("size, shown", [(1 << 50, "1024.0 TiB"), (3 << 50, "3072.0 TiB"), (1280, "1.2 KiB"), (1792, "1.8 KiB"), ((1 << 20) - 1, "1024.0 KiB"), (None, None)])
+def test_format_size_like_printf(spark, size, shown):
+    assert one(spark, text.format_size(F.lit(size).cast("bigint"), "T")) == shown
+
+
 def test_tags(spark):
     f = lambda *t: one(spark, text.normalize_tags(F.array(*map(F.lit, t))))
     assert f(" Go ", "x-1") == ["go", "x-1"]
