@@ -31,6 +31,18 @@ def test_lines_with_one_lead(spark, pairs):
     assert got == set(range(0, 2 * pairs, 2))
 
 
+def test_lines_without_a_common_run(spark):
+    """Every fifth character behind the lead differs, so no run of eight is shared there; and a crowd of more than a block."""
+    rng = random.Random(5)
+    lead = " ".join(_word(rng) for _ in range(13))
+    rows = []
+    for _ in range(150):
+        tail = " ".join(_word(rng) for _ in range(7))
+        rows += [(len(rows), f"{lead} {tail}"), (len(rows) + 1, f"{lead} " + "".join("0" if i % 5 == 2 and c != " " else c for i, c in enumerate(tail)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in line_dedup.dedup(docs, sketch=True).collect()} == set(range(0, 300, 2))
+
+
 @pytest.mark.parametrize("pairs", [150])
 def test_documents_with_one_lead(spark, pairs):
     rng = random.Random(pairs)
