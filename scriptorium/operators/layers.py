@@ -40,7 +40,9 @@ def fold(nodes: DataFrame, edges: DataFrame, needed: dict[str, Column], result:
     get no row; with `limit`, nor do layers beyond it.
     """
     own = [c for c in nodes.columns if c not in ("graph", "id")]
-    wants = edges.groupBy("graph", "id").agg(F.count("*").alias("_wants"))
+    # Every round reads the open edges, so they are made once and shrink with the open nodes.
+    left = settle(edges)
+    wants = left.groupBy("graph", "id").agg(F.count("*").alias("_wants"))
     open_ = settle(nodes.join(wants, ["graph", "id"], "left").withColumn("_wants", F.coalesce("_wants", F.lit(0))))
     blank = [F.lit(None).alias(n) for n in needed]
     start = open_.where("_wants = 0").select("graph", "id", *own, *blank)
@@ -48,14 +50,14 @@ def fold(nodes: DataFrame, edges: DataFrame, needed: dict[str, Column], result:
     latest = settle(start.select("graph", "id", F.lit(0).alias("layer"), *[c.alias(n) for n, c in result.items()]))
     done = [latest]
     waiting = settle(open_.where("_wants > 0"))
-    left = edges.join(waiting.select("graph", "id"), ["graph", "id"], "left_semi")
     partial = None
     layer = 0
     while (limit is None or layer < limit) and not latest.isEmpty() and not waiting.isEmpty():
         layer += 1
-        known = latest.select("graph", F.col("id").alias("dep"), *[F.col(n).alias(f"r_{n}") for n in result])
-        # Edges whose dep was done in this round; those of earlier rounds are kept beside the node.
-        hit = left.join(known, ["graph", "dep"])
+        known = latest.select("graph", F.col("id").alias("dep"), *[F.col(n).alias(f"r_{n}") for n in result], F.lit(True).alias("_hit"))
+        # Edges whose dep was done in this round go beside the node, where those of earlier rounds are kept; the others stay open.
+        tried = settle(left.join(known, ["graph", "dep"], "left"))
+        hit = tried.where("_hit").drop("_hit")
         rows = hit if partial is None else partial.unionByName(hit)
         rows = settle(rows)
         full = rows.groupBy("graph", "id").agg(F.count("*").alias("_has"), *[c.alias(n) for n, c in needed.items()]).join(waiting, ["graph", "id"]).where("_has = _wants")
@@ -64,7 +66,7 @@ def fold(nodes: DataFrame, edges: DataFrame, needed: dict[str, Column], result:
         ready = latest.select("graph", "id")
         waiting = settle(waiting.join(ready, ["graph", "id"], "left_anti"))
         partial = rows.join(ready, ["graph", "id"], "left_anti")
-        left = edges.join(waiting.select("graph", "id"), ["graph", "id"], "left_semi")
+        left = tried.where("_hit is null").select(*left.columns)
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
@@ -86,19 +88,55 @@ INCLUDE = r"^@(\S+)[ \t]*$"
 DEPTH = 32
 
 
-def includes(files: DataFrame) -> DataFrame:
-    """(graph, id, dep, pos, marker): the include lines of files (graph, id, content) outside fences; dep is null where the target is absolute, a home path or outside the root; marker is the length of the include."""
-    lines = F.split("content", "\n")
-    fence = lambda x: F.trim(F.regexp_replace(x, r"^\s+", "")).rlike("^(```|~~~)")
+def include_lines(content: str) -> Column:
+    """array<string>: the include lines of a text outside fences, in order."""
+    bare = lambda x: F.ltrim(x, F.lit(" \t\n\x0b\f\r"))
+    fence = lambda x: F.startswith(bare(x), F.lit("```")) | F.startswith(bare(x), F.lit("~~~"))
+    # Only few lines can be a fence or an include; no pattern is matched against the others.
+    lines = F.filter(F.split(content, "\n"), lambda x: F.startswith(x, F.lit("@")) | fence(x))
     # The state of the fence after each line, one step a line.
     step = lambda s, x: F.struct((s["open"] != fence(x)).alias("open"), F.when(~s["open"] & ~fence(x) & x.rlike(INCLUDE), F.concat(s["found"], F.array(x))).otherwise(s["found"]).alias("found"))
     found = F.aggregate(lines, F.struct(F.lit(False).alias("open"), F.array().cast("array<string>").alias("found")), step)["found"]
-    each = files.where(F.contains("content", F.lit("@"))).select("graph", "id", F.posexplode(found).alias("pos", "line"))
+    return F.when(F.contains(content, F.lit("@")), found)
+
+
+def targets(files: DataFrame) -> DataFrame:
+    """`includes` of files (graph, id, found) whose include lines are known."""
+    each = files.select("graph", "id", F.posexplode("found").alias("pos", "line"))
     target = F.regexp_extract("line", INCLUDE, 1)
     folder = F.regexp_extract("id", r"^(.*/)?[^/]*$", 1)
     return each.select("graph", "id", F.when(~target.rlike("^[/~]"), clean_path(F.concat(folder, target))).alias("dep"), "pos", F.octet_length("line").cast("bigint").alias("marker"))
 
 
+def includes(files: DataFrame) -> DataFrame:
+    """(graph, id, dep, pos, marker): the include lines of files (graph, id, content) outside fences; dep is null where the target is absolute, a home path or outside the root; marker is the length of the include."""
+    return targets(files.select("graph", "id", include_lines("content").alias("found")))
+
+
+def measured(files: DataFrame, edges: DataFrame) -> DataFrame:
+    """(graph, id, own, whole, problem): each file's bytes by itself and with all that it includes, see `instruction_sizes`; one fold for both."""
+    bytes_ = F.col("bytes").cast("bigint")
+    whole = files.select("graph", "id", bytes_.alias("bytes"), F.lit(None).cast("int").alias("fault"))
+    links = settle(edges.withColumn("dep", F.coalesce("dep", F.lit("\0"))))
+    # Targets that are no files become nodes with a fault, so that faults rise like sizes. Ids of files hold no NUL.
+    missing = links.select("graph", F.col("dep").alias("id")).distinct().join(files, ["graph", "id"], "left_anti")
+    broken = missing.select("graph", "id", F.lit(0).cast("bigint").alias("bytes"), F.when(F.col("id") == "\0", 2).otherwise(1).alias("fault"))
+    needed = {"more": F.sum(F.col("r_bytes") - F.col("marker")), "worst": F.max("r_fault"), "deep": F.max("r_height")}
+    height = F.coalesce(F.col("deep").cast("int") + 1, F.lit(0))
+    result = {"bytes": F.col("bytes") + F.coalesce(F.col("more").cast("bigint"), F.lit(0)), "fault": F.greatest(F.col("fault"), F.col("worst").cast("int"), F.when(height >= DEPTH, 0)), "height": height}
+    got = fold(whole.unionByName(broken), links, needed, result)
+    both = files.select("graph", "id", bytes_.alias("own")).join(got.withColumnRenamed("bytes", "whole"), ["graph", "id"], "left")
+    problem = F.when(F.col("layer").isNull(), "cycle").when(F.col("fault") == 2, "outside").when(F.col("fault") == 1, "missing").when(F.col("fault") == 0, "depth")
+    return both.select("graph", "id", "own", F.when(problem.isNull(), F.col("whole")).alias("whole"), problem.alias("problem"))
+
+
+def sizes_of(got: DataFrame, mode: str = "sum") -> DataFrame:
+    """(graph, id, bytes, problem) of `measured` rows by mode, see `instruction_sizes`."""
+    if mode == "none":
+        return got.select("graph", "id", F.col("own").alias("bytes"), F.lit(None).cast("string").alias("problem"))
+    return got.select("graph", "id", F.col("whole").alias("bytes") if mode == "sum" else F.when(F.col("problem").isNull(), F.col("own")).alias("bytes"), "problem")
+
+
 def instruction_sizes(files: DataFrame, edges: DataFrame, mode: str = "sum") -> DataFrame:
     """A10: (graph, id, bytes, problem) of files (graph, id, bytes) with includes (graph, id, dep, pos, marker).
 
@@ -111,19 +149,7 @@ def instruction_sizes(files: DataFrame, edges: DataFrame, mode: str = "sum") ->
     """
     if mode == "none":
         return files.select("graph", "id", F.col("bytes").cast("bigint").alias("bytes"), F.lit(None).cast("string").alias("problem"))
-    whole = files.select("graph", "id", F.col("bytes").cast("bigint").alias("bytes"), F.lit(None).cast("int").alias("fault"))
-    # Targets that are no files become nodes with a fault, so that faults rise like sizes. Ids of files hold no NUL.
-    missing = edges.select("graph", F.coalesce("dep", F.lit("\0")).alias("id")).distinct().join(files, ["graph", "id"], "left_anti")
-    broken = missing.select("graph", "id", F.lit(0).cast("bigint").alias("bytes"), F.when(F.col("id") == "\0", 2).otherwise(1).alias("fault"))
-    links = edges.withColumn("dep", F.coalesce("dep", F.lit("\0")))
-    more = F.sum(F.col("r_bytes") - F.col("marker")) if mode == "sum" else F.sum(F.lit(0).cast("bigint"))
-    needed = {"more": more, "worst": F.max("r_fault"), "deep": F.max("r_height")}
-    height = F.coalesce(F.col("deep").cast("int") + 1, F.lit(0))
-    result = {"bytes": F.col("bytes") + F.coalesce(F.col("more").cast("bigint"), F.lit(0)), "fault": F.greatest(F.col("fault"), F.col("worst").cast("int"), F.when(height >= DEPTH, 0)), "height": height}
-    got = fold(whole.unionByName(broken), links, needed, result)
-    both = files.select("graph", "id").join(got, ["graph", "id"], "left")
-    problem = F.when(F.col("layer").isNull(), "cycle").when(F.col("fault") == 2, "outside").when(F.col("fault") == 1, "missing").when(F.col("fault") == 0, "depth")
-    return both.select("graph", "id", F.when(problem.isNull(), F.col("bytes")).alias("bytes"), problem.alias("problem"))
+    return sizes_of(measured(files, edges), mode)
 
 
 def instruction_limits(sizes: DataFrame, limits: list[tuple[str, int]]) -> DataFrame:
