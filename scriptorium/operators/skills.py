@@ -10,19 +10,26 @@ NAME, MAX_NAME, MAX_DESCRIPTION = r"^[a-z0-9]+(-[a-z0-9]+)*$", 64, 1024
 LEFTOVER = r"^\.trash-|^(?=\.).*\.tmp-"
 
 
+def _let(value: Column, then) -> Column:
+    """then(value), with the value computed once however often it stands there."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def front_matter(content: Column) -> Column:
     """struct(opened, closed, name, description) of a SKILL.md; plain and quoted one-line values. Null name or description: not set."""
-    text = F.regexp_replace(F.regexp_replace(content, "^﻿", ""), "\r\n", "\n")
-    lines = F.split(text, "\n")
-    fence = F.transform(lines, lambda x: F.rtrim(F.regexp_replace(x, "[ \t]+$", "")) == "---")
-    opened = F.coalesce(F.get(fence, 0), F.lit(False))
-    end = F.array_position(F.slice(fence, F.lit(2), F.greatest(F.size(fence) - 1, F.lit(0))), True)
-    body = F.array_join(F.slice(lines, F.lit(2), F.greatest(end.cast("int") - 1, F.lit(0))), "\n")
-    value = lambda key: F.regexp_extract(body, rf"(?m)^{key}:[ \t]*(.*?)[ \t]*$", 1)
+    text = _let(content, lambda c: F.replace(F.when(F.startswith(c, F.lit("\ufeff")), F.substring(c, F.lit(2), F.length(c))).otherwise(c), F.lit("\r\n"), F.lit("\n")))
     plain = lambda v: F.when(v.rlike('^".*"$|^\'.*\'$'), F.substring(v, F.lit(2), F.length(v) - 2)).otherwise(F.regexp_replace(v, r"[ \t]+#.*$", ""))
-    found = lambda key: F.nullif(plain(value(key)), F.lit(""))
-    closed = opened & (end > 0)
-    return F.struct(opened.alias("opened"), closed.alias("closed"), F.when(closed, found("name")).alias("name"), F.when(closed, found("description")).alias("description"))
+    found = lambda body, key: _let(_let(F.regexp_extract(body, rf"(?m)^{key}:[ \t]*(.*?)[ \t]*$", 1), plain), lambda v: F.nullif(v, F.lit("")))
+    body = lambda lines, end: F.array_join(F.slice(lines, F.lit(2), F.greatest(end.cast("int") - 1, F.lit(0))), "\n")
+    some = lambda closed, b: F.struct(F.when(closed, found(b, "name")).alias("name"), F.when(closed, found(b, "description")).alias("description"))
+
+    def read(lines: Column, mark: Column) -> Column:
+        opened = F.coalesce(F.get(mark, 0), F.lit(False))
+        end = F.array_position(F.slice(mark, F.lit(2), F.greatest(F.size(mark) - 1, F.lit(0))), True)
+        return _let(F.struct(opened.alias("opened"), (opened & (end > 0)).alias("closed"), end.alias("end")), lambda s: _let(some_of(s, lines), lambda m: F.struct(s["opened"].alias("opened"), s["closed"].alias("closed"), m["name"].alias("name"), m["description"].alias("description"))))
+
+    some_of = lambda s, lines: _let(body(lines, s["end"]), lambda b: some(s["closed"], b))
+    return _let(F.split(text, "\n"), lambda lines: _let(F.transform(lines, lambda x: F.rtrim(x, F.lit(" \t")) == "---"), lambda mark: read(lines, mark)))
 
 
 def metadata_problem(meta: Column, folder: Column) -> Column:

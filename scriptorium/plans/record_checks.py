@@ -46,10 +46,10 @@ def skill_metadata(spark, sf_dir):
     pick = lambda cond, then, other="": F.when(cond, then).otherwise(F.lit(other) if isinstance(other, str) else other)
     content = F.concat(
         pick(n % 8 == 6, "x"), F.lit("---"), pick(n % 2 == 0, "  "), F.lit("\n"), pick(n % 5 == 4, "", F.concat(F.lit("name: "), named, F.lit("\n"))), F.lit("description: "),
-        pick(n % 7 == 3, "", F.substring(F.replace(clean, F.lit("\n"), F.lit(" ")), 1, 1100)), F.lit("\n"), pick(n % 11 == 5, "", "---\n"), clean,
+        pick(n % 7 == 3, "", F.substring(F.replace("clean", F.lit("\n"), F.lit(" ")), 1, 1100)), F.lit("\n"), pick(n % 11 == 5, "", "---\n"), "clean",
     )
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return d.select("doc_id", skills.metadata_problem(skills.front_matter(content), folder).alias("problem"))
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("clean", clean)
+    return d.withColumn("meta", skills.front_matter(content)).select("doc_id", skills.metadata_problem(F.col("meta"), folder).alias("problem"))
 
 
 @query("""WITH d AS (SELECT source AS target, 's' || CAST(doc_id % 23 AS VARCHAR) AS name, doc_id FROM documents),
