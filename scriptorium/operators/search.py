@@ -103,6 +103,13 @@ def term_statistics(held: DataFrame) -> DataFrame:
     return held.groupBy("field", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
+def term_counts(chunks: DataFrame) -> DataFrame:
+    """`term_statistics` of chunks with ids of their own, without their postings: a chunk counts its terms where it is, so that only terms are shuffled."""
+    each = _fields(chunks).select("field", F.sort_array("terms").alias("terms"))
+    first = each.select("field", F.posexplode("terms").alias("at", "term"), "terms").select("field", "term", F.when((F.col("at") > 0) & (F.get("terms", F.col("at") - 1) == F.col("term")), 0).otherwise(1).alias("first"))
+    return first.groupBy("field", "term").agg(F.sum("first").alias("df"), F.count("*").alias("cf"))
+
+
 def blocked(held: DataFrame) -> DataFrame:
     """Postings with `block`: runs of BLOCK postings of a term and field, the ones of largest frequency first, in the order in which they are to be stored.
 

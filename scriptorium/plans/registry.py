@@ -251,7 +251,7 @@ def search_filtered(spark, sf_dir):
 @query("WITH " + sql("", "corpus", "lines").removeprefix("WITH RECURSIVE ").strip() + ",\n" + _POSTINGS + "\nSELECT field, term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM postings GROUP BY field, term")
 def term_statistics(spark, sf_dir):
     """Document and collection frequency of every term of every field."""
-    return search.term_statistics(search.postings(_chunked(spark, sf_dir))).select("field", "term", "df", F.col("cf").cast("bigint").alias("cf"))
+    return search.term_counts(_chunked(spark, sf_dir)).select("field", "term", "df", F.col("cf").cast("bigint").alias("cf"))
 
 
 @query(sql("""SELECT c.path, CAST(greatest(coalesce(min(CASE WHEN contains(lower(line), 'inor') THEN line_no END), 1) - 2, 1) AS INTEGER) AS start_line FROM corpus c LEFT JOIN lines l ON l.path = c.path GROUP BY c.path""", "corpus", "lines"))
