@@ -71,3 +71,46 @@ def test_items_do_not_depend_on_blocks(spark):
         assert {r[5] for r in got[0] if r[0] < 9} == {2, 3} and len(got[0]) == (20 if not expand else 30)
     left = [sorted(r.doc_id for r in decontamination.remove_contaminated(docs, bench, block_bytes=n).collect()) for n in (250, 8 << 20)]
     assert left == [[50, 51], [50, 51]]
+
+
+def _crowd(spark, lines):
+    """The tables that `_crowded` takes, of lines (h1, root, least, keys, text)."""
+    all_of = spark.createDataFrame([(k, h, 100) for h, _, _, keys, _ in lines for k in keys], "key long, h1 long, n long")
+    roots = spark.createDataFrame([(h, r) for h, r, _, _, _ in lines], "node long, root long")
+    sets = spark.createDataFrame([(h, keys, least, len(t)) for h, _, least, keys, t in lines], "h1 long, keys array<long>, least int, chars int")
+    return all_of, roots, sets, spark.createDataFrame([(h, t, len(t)) for h, _, _, _, t in lines], "h1 long, line string, chars int")
+
+
+def test_crowd_rows_grow_with_lines(spark):
+    """A near copy group of 12 keys a line and a few others: a few rows for each line and key, whatever the group's size."""
+    made = []
+    for n in (300, 1200):
+        lines = [(h, h if h % 10 == 0 else 1, 2, list(range(12)), "x" * 100) for h in range(n)]
+        left, right, _ = line_dedup._crowd_rows(*_crowd(spark, lines)[:3], 0.8)
+        made.append((left.count(), right.count()))
+        assert made[-1][1] == 11 * n and made[-1][0] <= 11 * (n // 10) * 10
+    assert made[1][1] == 4 * made[0][1]
+
+
+def test_crowd_against_all_pairs(spark):
+    """All pairs of other components that share enough keys: short lines one, also with a line that needs two; lengths at the edge, moved texts."""
+    from .test_whole_lines import near
+
+    rng = random.Random(8)
+    base = [" ".join(_word(rng) for _ in range(12)) for _ in range(3)]
+    lines = []
+    for h in range(90):
+        text = base[h % 3]
+        for _ in range(rng.choice((3, 12, 17, 19, 21, 24))):
+            i = rng.randrange(len(text))
+            text = text[:i] + rng.choice(("", "é", "ab")) + text[i + 1 :]
+        cut = rng.choice((0, 0, 10, 19, 20))
+        text = rng.choice((text, text[cut:], text[: len(text) - cut], text[cut:] + "q" * cut))
+        lines.append((h - 40, 5 if h % 7 == 0 else h - 40, rng.choice((1, 2, 2, 2)), rng.sample(range(6), rng.choice((1, 2, 3, 6))), text))
+    want = set()
+    for i, (a, ra, la, ka, x) in enumerate(lines):
+        for b, rb, lb, kb, y in lines[i + 1 :]:
+            if ra != rb and len(set(ka) & set(kb)) >= min(la, lb) and near(x, y):
+                want.add((a, b))
+    assert len(want) > 30
+    assert {(r.a, r.b) for r in line_dedup._crowded(*_crowd(spark, lines), 0.8).collect()} == want
