@@ -5,7 +5,8 @@ needs dep. `fold` gives every node a result from the results of what it needs:
 in each round those nodes are done whose needs are all done, so the rounds are
 as many as the longest chain has nodes, whatever the number of graphs. Each
 round joins the open edges with the nodes done in the round before, sums up
-per node, and is written to the checkpoint folder. Nodes that are left open
+per node, and is written to the checkpoint folder as tables, whose size Spark
+knows; those that no later round reads are deleted. Nodes that are left open
 when a round finds nothing new lie on a cycle or need one that does.
 
 A node that very many others need is one row on the small side of that join,
@@ -14,20 +15,54 @@ whose large side Spark splits.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+_written: dict[str, SparkSession] = {}
+
 
 def settle(df: DataFrame) -> DataFrame:
-    """df written to the checkpoint folder, its lineage cut. Only a local session may leave that folder unset."""
-    sc = df.sparkSession.sparkContext
+    """df written to the checkpoint folder as a table and read again, its lineage cut. Only a local session may leave that folder unset.
+
+    A checkpoint of Spark's would keep the size that was estimated for the
+    plan. A join multiplies the sizes of its sides, so every round squares
+    them, and after some twenty rounds the number alone fills the driver.
+    Tables go by `_drop`, or when this process ends.
+    """
+    spark, sc = df.sparkSession, df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         if not sc.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="scriptorium-layers-"))
-    return df.checkpoint(eager=True)
+    path = f"{sc._jsc.sc().getCheckpointDir().get()}/scriptorium-layers-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _written[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scriptorium_layers = path
+    return out
+
+
+def _drop(*tables: DataFrame) -> None:
+    """Delete these settled tables. Nothing that is still to be computed may read them."""
+    for df in tables:
+        path = df._scriptorium_layers
+        spark = _written.pop(path, None)
+        if spark is not None:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@atexit.register
+def _clean() -> None:
+    for path, spark in list(_written.items()):
+        with contextlib.suppress(Exception):  # the session may have been stopped
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def fold(nodes: DataFrame, edges: DataFrame, needed: dict[str, Column], result: dict[str, Column], limit: int | None = None) -> DataFrame:
@@ -41,35 +76,44 @@ def fold(nodes: DataFrame, edges: DataFrame, needed: dict[str, Column], result:
     """
     own = [c for c in nodes.columns if c not in ("graph", "id")]
     # Every round reads the open edges, so they are made once and shrink with the open nodes.
-    left = settle(edges)
+    tried = settle(edges)
+    left = tried
     wants = left.groupBy("graph", "id").agg(F.count("*").alias("_wants"))
-    open_ = settle(nodes.join(wants, ["graph", "id"], "left").withColumn("_wants", F.coalesce("_wants", F.lit(0))))
+    waiting = settle(nodes.join(wants, ["graph", "id"], "left").withColumn("_wants", F.coalesce("_wants", F.lit(0))))
     blank = [F.lit(None).alias(n) for n in needed]
-    start = open_.where("_wants = 0").select("graph", "id", *own, *blank)
+    start = waiting.where("_wants = 0").select("graph", "id", *own, *blank)
     # The first layer's aggregates are null; their types come from the columns that use them.
     latest = settle(start.select("graph", "id", F.lit(0).alias("layer"), *[c.alias(n) for n, c in result.items()]))
     done = [latest]
-    waiting = settle(open_.where("_wants > 0"))
-    partial = None
+    open_, rows, partial = waiting.where("_wants > 0"), None, None
     layer = 0
-    while (limit is None or layer < limit) and not latest.isEmpty() and not waiting.isEmpty():
+    while (limit is None or layer < limit) and not latest.isEmpty() and not open_.isEmpty():
         layer += 1
         known = latest.select("graph", F.col("id").alias("dep"), *[F.col(n).alias(f"r_{n}") for n in result], F.lit(True).alias("_hit"))
         # Edges whose dep was done in this round go beside the node, where those of earlier rounds are kept; the others stay open.
-        tried = settle(left.join(known, ["graph", "dep"], "left"))
+        before, tried = tried, settle(left.join(known, ["graph", "dep"], "left"))
+        _drop(before)
         hit = tried.where("_hit").drop("_hit")
-        rows = hit if partial is None else partial.unionByName(hit)
-        rows = settle(rows)
-        full = rows.groupBy("graph", "id").agg(F.count("*").alias("_has"), *[c.alias(n) for n, c in needed.items()]).join(waiting, ["graph", "id"]).where("_has = _wants")
+        before, rows = rows, settle(hit if partial is None else partial.unionByName(hit))
+        if before is not None:
+            _drop(before)
+        full = rows.groupBy("graph", "id").agg(F.count("*").alias("_has"), *[c.alias(n) for n, c in needed.items()]).join(open_, ["graph", "id"]).where("_has = _wants")
         latest = settle(full.select("graph", "id", F.lit(layer).alias("layer"), *[c.alias(n) for n, c in result.items()]))
         done.append(latest)
         ready = latest.select("graph", "id")
-        waiting = settle(waiting.join(ready, ["graph", "id"], "left_anti"))
+        before, waiting = waiting, settle(open_.join(ready, ["graph", "id"], "left_anti"))
+        _drop(before)
+        open_ = waiting
         partial = rows.join(ready, ["graph", "id"], "left_anti")
-        left = tried.where("_hit is null").select(*left.columns)
+        left = tried.where("_hit is null").select(*edges.columns)
+    _drop(tried, waiting, *([] if rows is None else [rows]))
+    if len(done) == 1:
+        return latest
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
+    out = settle(out)
+    _drop(*done)
     return out
 
 
