@@ -21,6 +21,8 @@ ignored by `link` and passed through by `keep_one`, whatever their names.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -119,6 +121,8 @@ def shingle_hashes(text: bytes, size: int = 5, seed: int = 42) -> np.ndarray:
 #: Smallest shingle hashes kept of a set, how many of them two sets of Jaccard similarity 0.8 share at least (a binomial of
 #: 12 draws with odds 0.8 stays below 4 once in 10,000 times), and the documents of a key that are all compared.
 _SKETCH, _COMMON, _CROWD = 12, 4, 64
+#: Sets of a crowded shingle are compared in parts of so many.
+_BLOCK = 1024
 
 
 def _sketches(docs: DataFrame, size: int) -> DataFrame:
@@ -154,16 +158,14 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _prefixes(docs: DataFrame, held: DataFrame, sets: DataFrame, size: int, similarity: float) -> DataFrame:
-    """(a, n, b, m) of sets that can be alike though all the keys they share are crowded.
+    """(hash, spot, n, place, df) of the prefixes of sets that can be alike though all the keys they share are crowded.
 
     Two sets of n and m shingles with a Jaccard similarity of t share t * n of
     the first's, so in any order of all shingles they have one in common among
     the first (1 - t) * n + 1 of each. The order here is by the number of these
-    sets that have a shingle, rarest first, so the parts that a crowd has in
-    common come last. Only sets with as many crowded keys as two have to share
-    take part, with their whole texts. A shingle that is crowded and yet among
-    the rarest of its set leaves that set without much of its own: it is close
-    to the key's ends, with which all are compared.
+    sets that have a shingle, df, rarest first, so the parts that a crowd has in
+    common come last; `place` is a shingle's in its set. Only sets with as many
+    crowded keys as two have to share take part, with their whole texts.
     """
     crowded = held.where(f"members > {_CROWD}").groupBy("id", "n").agg(F.count("*").alias("shared"))
     crowded = cut(crowded.join(sets.select("id", "keys"), "id").where(F.col("shared") >= F.least(F.lit(_COMMON), F.size("keys"))).select(F.col("id").alias("spot"), "n"))
@@ -176,10 +178,56 @@ def _prefixes(docs: DataFrame, held: DataFrame, sets: DataFrame, size: int, simi
     # A set's own shingles come first and meet nobody; they only use up its prefix.
     single = F.col("n") - F.count("*").over(Window.partitionBy("spot"))
     place = F.row_number().over(Window.partitionBy("spot").orderBy("df", "hash")) + single
-    first = cut(ranked.withColumn("place", place).where(F.col("place") <= F.floor((1 - similarity) * F.col("n") + 1e-9) + 1).where(f"df <= {_CROWD}").select("hash", F.col("spot").alias("a"), "n"))
-    out = first.join(first.select("hash", F.col("a").alias("b"), F.col("n").alias("m")), "hash").where("a < b").select("a", "n", "b", "m").distinct()
-    out = cut(out)
-    release(crowded, found, whole, counts, first)
+    out = cut(ranked.withColumn("place", place).where(F.col("place") <= F.floor((1 - similarity) * F.col("n") + 1e-9) + 1).select("hash", "spot", "n", "place", "df"))
+    release(crowded, found, whole, counts)
+    return out
+
+
+def _crowded(first: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """(a, n, b, m) of sets of different components that can be alike and share a crowded shingle of their prefixes.
+
+    Of the sets of a shingle, those outside its largest component are compared
+    with all, by classes of size (sets that are alike are at most one class
+    apart) and in parts of _BLOCK. Behind the first shingle that two sets share,
+    both need enough of theirs left for the similarity, so sets whose own
+    shingles come first do not meet. This loses no pair; the comparisons, of
+    numbers only, grow with the square of the sets outside.
+    """
+    rooted = cut(first.where(f"df > {_CROWD}").drop("df").join(roots.withColumnRenamed("node", "spot"), "spot", "left").withColumn("root", F.coalesce("root", "spot")))
+    each = rooted.groupBy("hash", "root").agg(F.count("*").alias("rows"))
+    mixed = cut(each.groupBy("hash").agg(F.sum("rows").alias("rows"), F.max(F.struct("rows", "root"))["root"].alias("main"), F.count("*").alias("roots")).where("roots > 1").drop("roots"))
+    width = 1.001 * math.log(1 / similarity) if similarity < 1 else 1.0
+    own = cut(hot_join(rooted, mixed, ["hash"], "rows").withColumn("class", F.floor(F.log("n") / width).cast("int")))
+    met = cut(own.groupBy("hash", "class").agg(F.count("*").alias("rows")).withColumn("parts", F.ceil(F.col("rows") / _BLOCK).cast("int")))
+    on = ["hash", "class", "part"]
+    right = hot_join(own, met, ["hash", "class"], "rows").withColumn("part", F.pmod("spot", F.col("parts")).cast("int"))
+    near = own.where("root <> main").withColumn("class", F.explode(F.array(*[F.col("class") + k for k in (-1, 0, 1)])))
+    left = hot_join(near, met, ["hash", "class"], "rows").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    left, right = (parallel(df.select(*on, "spot", "n", "place", "root", "main"), *on) for df in (left, right))
+    right = right.select(*on, F.col("spot").alias("b"), F.col("n").alias("m"), F.col("place").alias("place_"), F.col("root").alias("root_"))
+    enough = f"1 + least(n - place, m - place_) >= {similarity / (1 + similarity)!r} * (n + m) - 1e-9 and least(n, m) >= {similarity!r} * greatest(n, m) - 1e-9"
+    # Sets outside the largest component meet from both sides.
+    pairs = left.withColumnRenamed("spot", "a").join(right, on).where(f"root <> root_ and (root_ = main or a < b) and {enough}")
+    out = cut(pairs.select("a", "n", "b", "m").distinct())
+    release(rooted, mixed, own, met)
+    return out
+
+
+def _checked(pairs: DataFrame, docs: DataFrame, sets: DataFrame, size: int, similarity: float) -> DataFrame:
+    """(a, b, fa, fb) of the pairs (a, n, b, m) that share enough keys and whose whole sets pass the similarity, with their fingerprints."""
+    fits = f"a <> b and least(n, m) >= {similarity} * greatest(n, m) - 1e-9"
+    pairs = pairs.where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    side = lambda c, k, f: sets.select(F.col("id").alias(c), F.col("keys").alias(k), F.col("fp").alias(f))
+    pairs = pairs.join(side("a", "ka", "fa"), "a").join(side("b", "kb", "fb"), "b").where(F.size(F.array_intersect("ka", "kb")) >= F.least(F.lit(_COMMON), F.size("ka"), F.size("kb")))
+    pairs = cut(pairs.select("a", "b", "fa", "fb"))
+    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("spot")).distinct())
+    found = sieve(wanted, "spot")
+    near = sift(docs.select(F.xxhash64("doc_id", "rk").alias("spot"), "text"), found, "spot")
+    whole = cut(_sets(near, size).dropDuplicates(["spot"]))
+    both = pairs.join(whole.select(F.col("spot").alias("a"), F.col("hashes").alias("x")), "a").join(whole.select(F.col("spot").alias("b"), F.col("hashes").alias("y")), "b")
+    both = both.withColumn("shared", F.size(F.array_intersect("x", "y")))
+    out = cut(both.where(f"shared >= {similarity} * (size(x) + size(y) - shared) - 1e-9").select("a", "b", "fa", "fb"))
+    release(pairs, wanted, found, whole)
     return out
 
 
@@ -190,8 +238,11 @@ def alike(docs: DataFrame, own: DataFrame, size: int, similarity: float) -> Data
     of their smallest hashes, and _COMMON of them in all; within a key each set
     is compared with the smallest and the largest id, and in keys of up to
     _CROWD sets with all; sets that share more crowded keys only are found by
-    their rarest shingles (`_prefixes`). The whole sets decide; they are built again for the
-    candidates alone, which are found by a bitmap of bounded size.
+    their rarest shingles (`_prefixes`): all that share one of up to _CROWD
+    sets, the smallest set of a larger one with all of its, and of what is not
+    in one component then, all that can be alike (`_crowded`). The whole sets
+    decide; they are built again for the candidates alone, which are found by a
+    bitmap of bounded size.
     """
     some = own.where("n > 0")
     sets = cut(some.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "rk")).alias("at"), F.min("n").alias("n"), F.min("fp").alias("fp"), F.max("fp").alias("other"), F.any_value("keys").alias("keys")).select(F.xxhash64("at.doc_id", "at.rk").alias("id"), "n", "fp", "other", "keys"))
@@ -202,23 +253,26 @@ def alike(docs: DataFrame, own: DataFrame, size: int, similarity: float) -> Data
     key = cut(key)
     ends = cut(key.groupBy("key").agg(F.count("*").alias("members"), F.min(F.struct("id", "n")).alias("low"), F.max(F.struct("id", "n")).alias("high")).where("members > 1").withColumn("rows", F.col("members")))
     held = cut(hot_join(key, ends, ["key"], "rows"))
-    fits = f"a <> b and least(n, m) >= {similarity} * greatest(n, m) - 1e-9"
     tries = [held.select(F.col("id").alias("a"), "n", F.col(f"{e}.id").alias("b"), F.col(f"{e}.n").alias("m")) for e in ("low", "high")]
     few = held.where(f"members between 3 and {_CROWD}").select("key", "id", "n")
     tries.append(few.select("key", F.col("id").alias("a"), "n").join(few.select("key", F.col("id").alias("b"), F.col("n").alias("m")), "key").where("a < b").select("a", "n", "b", "m"))
-    tries.append(_prefixes(docs, held, sets, size, similarity))
-    pairs = tries[0].unionByName(tries[1]).unionByName(tries[2]).unionByName(tries[3]).where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    side = lambda c, k, f: sets.select(F.col("id").alias(c), F.col("keys").alias(k), F.col("fp").alias(f))
-    pairs = pairs.join(side("a", "ka", "fa"), "a").join(side("b", "kb", "fb"), "b").where(F.size(F.array_intersect("ka", "kb")) >= F.least(F.lit(_COMMON), F.size("ka"), F.size("kb")))
-    pairs = cut(pairs.select("a", "b", "fa", "fb"))
-    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("spot")).distinct())
-    found = sieve(wanted, "spot")
-    near = sift(docs.select(F.xxhash64("doc_id", "rk").alias("spot"), "text"), found, "spot")
-    whole = cut(_sets(near, size).dropDuplicates(["spot"]))
-    both = pairs.join(whole.select(F.col("spot").alias("a"), F.col("hashes").alias("x")), "a").join(whole.select(F.col("spot").alias("b"), F.col("hashes").alias("y")), "b")
-    both = both.withColumn("shared", F.size(F.array_intersect("x", "y")))
-    out = cut(both.where(f"shared >= {similarity} * (size(x) + size(y) - shared) - 1e-9").select(F.col("fa").alias("a"), F.col("fb").alias("b")).unionByName(same).where("a <> b").distinct())
-    release(sets, key, ends, held, pairs, wanted, found, whole)
+    first = _prefixes(docs, held, sets, size, similarity)
+    rare = first.where(f"df <= {_CROWD}").select("hash", F.col("spot").alias("a"), "n")
+    tries.append(rare.join(rare.select("hash", F.col("a").alias("b"), F.col("n").alias("m")), "hash").where("a < b").select("a", "n", "b", "m"))
+    large = first.where(f"df > {_CROWD}")
+    barest = cut(large.groupBy("hash").agg(F.min(F.struct("n", "spot")).alias("least"), F.count("*").alias("rows")))
+    tries.append(hot_join(large.select("hash", F.col("spot").alias("a"), "n"), barest, ["hash"], "rows").select("a", "n", F.col("least.spot").alias("b"), F.col("least.n").alias("m")))
+    pairs = cut(tries[0].unionByName(tries[1]).unionByName(tries[2]).unionByName(tries[3]).unionByName(tries[4]).distinct())
+    links = [_checked(pairs, docs, sets, size, similarity)]
+    release(pairs)
+    if not barest.isEmpty():
+        roots = components(links[0].select("a", "b"))
+        more = _crowded(first, roots, similarity)
+        links.append(_checked(more, docs, sets, size, similarity))
+        release(roots, more)
+    ends_of = [x.select(F.col("fa").alias("a"), F.col("fb").alias("b")) for x in links]
+    out = cut((ends_of[0] if len(links) == 1 else ends_of[0].unionByName(ends_of[1])).unionByName(same).where("a <> b").distinct())
+    release(sets, key, ends, held, first, barest, *links)
     return out
 
 

@@ -56,6 +56,36 @@ def test_documents_with_one_lead(spark, pairs):
     assert {r.doc_id for r in simhash.keep_one(docs, size=5, similarity=0.8).collect()} == set(range(0, 2 * pairs, 2))
 
 
+def test_documents_that_share_a_crowd_alone(spark):
+    """Every document is alike to the two without much of their own, and to no other; all they share is what the crowd has."""
+    rng = random.Random(9)
+    lead = [_word(rng) for _ in range(89)]
+    rows = [(k, " ".join(lead + [_word(rng) for _ in range(2 if k in (70, 90) else 15)])) for k in range(160)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r.doc_id for r in simhash.keep_one(docs, size=5, similarity=0.8).collect()] == [0]
+
+
+def test_crowded_documents_against_all_pairs(spark):
+    """Sets over a few shingles that nearly all have: pairs of other components, as all pairs have them."""
+    rng = random.Random(4)
+    sets = [set(rng.sample(range(40), rng.randint(18, 38))) | ({1000 + k} if k % 3 else set()) for k in range(240)]
+    df = {}
+    for x in sets:
+        for h in x:
+            df[h] = df.get(h, 0) + 1
+    rows = []
+    for k, x in enumerate(sets):
+        prefix = sorted(x, key=lambda h: (df[h], h))[: int(0.2 * len(x) + 1e-9) + 1]
+        rows += [(h, k, len(x), at + 1, df[h]) for at, h in enumerate(prefix) if df[h] > 1]
+    root = [5 if k % 4 == 0 else k for k in range(240)]
+    first = spark.createDataFrame(rows, "hash long, spot long, n int, place int, df long")
+    roots = spark.createDataFrame([(k, r) for k, r in enumerate(root) if r != k or k == 5], "node long, root long")
+    got = {(min(r.a, r.b), max(r.a, r.b)) for r in simhash._crowded(first, roots, 0.8).collect()}
+    want = {(i, j) for i in range(240) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and root[i] != root[j]}
+    want = {(j, i) for i, j in want}
+    assert len(want) > 20 and want <= got
+
+
 def test_items_do_not_depend_on_blocks(spark):
     """Equal items are one class with its number of copies, in one block or many."""
     from scriptorium.llm import decontamination
