@@ -144,3 +144,35 @@ def test_crowd_against_all_pairs(spark):
                 want.add((a, b))
     assert len(want) > 30
     assert {(r.a, r.b) for r in line_dedup._crowded(*_crowd(spark, lines), 0.8).collect()} == want
+
+
+def test_crowd_in_rounds(spark, monkeypatch):
+    """What is compared does not depend on how many rounds it takes."""
+    rng = random.Random(11)
+    base = " ".join(_word(rng) for _ in range(12))
+    lines = [(h, h, 2, list(range(4)), _changed(rng, base, rng.choice((3, 6, 9)))) for h in range(150)]
+    want = {(r.a, r.b) for r in line_dedup._crowded(*_crowd(spark, lines), 0.8).collect()}
+    monkeypatch.setattr(line_dedup, "_ROUND", 1)
+    cuts = []
+    monkeypatch.setattr(line_dedup, "sweep", cuts.append)
+    assert {(r.a, r.b) for r in line_dedup._crowded(*_crowd(spark, lines), 0.8).collect()} == want
+    assert len(cuts) > 2 and len(want) > 1000
+
+
+def test_pairs_of_one_key_are_not_written(spark):
+    """Of lines that share keys in buckets of up to 64, only pairs of other components, of like length and with enough common keys are made."""
+    rng = random.Random(12)
+    lines = [(h, rng.choice((1, 2, h)), [rng.randrange(40), *rng.sample(range(100, 140), rng.choice((0, 1, 2, 3)))], rng.choice((1, 2, 2, 2)), rng.choice((50, 60, 70))) for h in range(600)]
+    sets = spark.createDataFrame([(h, r, sorted(set(keys)), least, chars) for h, r, keys, least, chars in lines], "h1 long, root long, keys array<long>, least int, chars int")
+    of = {}
+    for h, r, keys, _, _ in lines:
+        for k in keys:
+            of.setdefault(k, set()).add(h)
+    few = {k for k, x in of.items() if 2 < len(x) <= 64}
+    want = set()
+    for i, (a, ra, ka, la, na) in enumerate(lines):
+        for b, rb, kb, lb, nb in lines[i + 1 :]:
+            if ra != rb and set(ka) & set(kb) & few and len(set(ka) & set(kb)) >= min(la, lb) and abs(na - nb) <= int(max(na, nb) * 0.2 + 1e-9):
+                want.add((a, b))
+    assert len(few) > 10 and len(want) > 100
+    assert {(r.a, r.b) for r in line_dedup._few_pairs(sets, 0.8).collect()} == want
